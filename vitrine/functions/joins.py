@@ -4,10 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 # A table is broadcast only after its size was measured to stay below this.
 BROADCAST_BYTES = 64 << 20
-# An id is hot when it holds more than this share of the rows, so there can be
-# at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.002
-SALTS = 128
+# An id is hot when it fills more than one average task; it is then spread over
+# this many tasks per average task it fills.
+SALTS_PER_TASK = 4
 
 
 def fits_broadcast(table: DataFrame, limit: int = None) -> bool:
@@ -30,29 +29,44 @@ def fits_broadcast(table: DataFrame, limit: int = None) -> bool:
     return (row[0] or 0) <= limit and row[1] < most
 
 
-def hot_ids(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Ids holding more than ``share`` of the rows: at most 1/share of them."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    everything = rows.agg(F.count("*").alias("_all")).scalar()
-    return counts.where(F.col("_n") > everything * share).select(key)
+def _tasks(df) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=None, limit=None):
-    """Inner join on a unique id, safe for ids that hold much of the data.
+def hot_ids(rows: DataFrame, key: str) -> DataFrame:
+    """(key, salts) of ids holding more rows than one of ``n`` equal tasks.
+
+    At most one id per shuffle partition can qualify, and the salts of all of
+    them together are at most SALTS_PER_TASK + 1 per shuffle partition.
+    """
+    tasks = _tasks(rows)
+    known = rows.where(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count("*").alias("_n"))
+    everything = known.agg(F.count("*").alias("_all")).scalar()
+    share = F.col("_n") / everything
+    return counts.where(share * tasks > 1).select(
+        key, F.ceil(share * (tasks * SALTS_PER_TASK)).cast("int").alias("_salts"))
+
+
+def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=None,
+           how="inner", limit=None):
+    """Join on a unique id (inner or left), safe for ids that hold much of the data.
 
     A table measured small is broadcast.  Otherwise both sides shuffle on
-    (id, salt): rows of a hot id spread over ``SALTS`` tasks by a hash of the
-    ``spread`` columns, and only the table rows of hot ids are replicated.
-    ``census`` may name a cheaper DataFrame to count ids on than ``rows``.
+    (id, salt): rows of a hot id spread over as many tasks as their share asks
+    for, by a hash of the ``spread`` columns, and only the table rows of hot ids
+    are replicated.  Rows without an id spread over all tasks.  ``census`` may
+    name a cheaper DataFrame to count ids on than ``rows``.
     """
     table = table.withColumnRenamed(table_key, key) if table_key != key else table
     if fits_broadcast(table, limit):
-        return rows.join(F.broadcast(table), key)
-    hot = hot_ids(rows if census is None else census, key).withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0)
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int"))
-    right = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"]).drop("_salt")
+        return rows.join(F.broadcast(table), key, how)
+    # at most one row per shuffle partition
+    hot = F.broadcast(hot_ids(rows if census is None else census, key))
+    salts = F.when(F.col(key).isNull(), F.lit(_tasks(rows) * SALTS_PER_TASK)).otherwise(
+        F.coalesce("_salts", F.lit(1)))
+    left = rows.join(hot, key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    right = table.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

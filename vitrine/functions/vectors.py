@@ -27,6 +27,15 @@ def scaled(x, w) -> Column:
     return F.transform(x, lambda a: a * w)
 
 
+def let(value, body) -> Column:
+    """``body`` of a value computed once per row, for use inside lambdas.
+
+    Spark may inline a column used once into a lambda and then compute it for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def zeros(n) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 

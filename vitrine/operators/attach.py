@@ -40,15 +40,16 @@ def inverse_vocab_lookup(rows, entries, column) -> DataFrame:
     return gather(rows, table, column, column, spread=tuple(rows.columns))
 
 
-def gather_item_vectors(rows, itemvec, column="item_id", spread=("row_idx", "t"), census=None):
-    """Attach ``vec`` of each row's item; rows whose item has none are dropped."""
+def gather_item_vectors(rows, itemvec, column="item_id", spread=("row_idx", "t"), census=None,
+                        how="inner"):
+    """Attach ``vec`` of each row's item; an inner join drops rows whose item has none."""
     table = itemvec.select(F.col("id").cast("int").alias("id"), "vec")
-    return gather(rows, table, column, "id", spread, census)
+    return gather(rows, table, column, "id", spread, census, how)
 
 
 def gather_user_vectors(rows, uservec) -> DataFrame:
-    """Attach the user's vector."""
-    return gather(rows, uservec.select("id", "vec"), "user_id", "id", spread=("t",))
+    """Attach the user's vector; a user has few rows, so keys are even."""
+    return rows.join(uservec.select(F.col("id").alias("user_id"), "vec"), "user_id")
 
 
 def semi_recommended(recs, clicks) -> DataFrame:

@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from vitrine.functions.vectors import matvec, zeros
+from vitrine.functions.vectors import let, matvec, zeros
 from vitrine.operators.attach import gather_item_vectors
 from vitrine.operators.reshape import explode_interactions
-from vitrine.schema import FIRST_REAL
+from vitrine.schema import FIRST_REAL, PAD
 
 
-def click_vectors(log, itemvec) -> DataFrame:
-    """(row_idx, user_id, n_steps, clicks): real clicks in order with vectors.
+def click_vectors(log, itemvec, keep=()) -> DataFrame:
+    """(row_idx, user_id, n_steps, clicks, …keep): real clicks in order with vectors.
 
     Clicks meet the item table before they are grouped per user, so no task
     holds the table beyond its share; a group has at most one entry per step.
@@ -27,8 +27,9 @@ def click_vectors(log, itemvec) -> DataFrame:
     grouped = seen.groupBy("row_idx").agg(
         F.array_sort(F.collect_list(F.struct("t", "vec"))).alias("clicks"))
     none = F.array().cast("array<struct<t:int,vec:array<double>>>")
-    return ids.select("row_idx", "user_id", F.size("click").alias("n_steps")).join(
-        grouped, "row_idx", "left").withColumn("clicks", F.coalesce("clicks", none))
+    users = log.select("row_idx", "user_id", F.size("click").alias("n_steps"), *keep)
+    return users.join(grouped, "row_idx", "left").withColumn(
+        "clicks", F.coalesce("clicks", none))
 
 
 def profile_start(users, kind, dim, table=None, matrix=None) -> DataFrame:
@@ -59,13 +60,28 @@ def markov_states(dim: int) -> Column:
     return F.concat(F.array(zeros(dim)), F.transform("clicks", lambda c: c["vec"]))
 
 
-def step_states(folded: DataFrame, states: str = "states") -> DataFrame:
-    """(row_idx, user_id, t, vec) for t = 0..n_steps."""
-    rows = folded.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_steps"))))
+def step_states(folded: DataFrame, states: str = "states", upto: int = None) -> DataFrame:
+    """(row_idx, user_id, t, vec) for t = 0..n_steps, or 0..``upto``."""
+    last = F.col("n_steps") if upto is None else F.least(F.col("n_steps"), F.lit(upto))
+    rows = folded.withColumn("t", F.explode(F.sequence(F.lit(0), last)))
     done = F.size(F.filter("clicks", lambda c: c["t"] < F.col("t")))
     return rows.select("row_idx", "user_id", "t", F.get(states, done).alias("vec"))
 
 
+def steps_with_state(folded: DataFrame, columns, states: str = "states") -> DataFrame:
+    """One row per observed step: the kept log ``columns`` and ``z``, the state before it.
+
+    Log and states meet once per user, not once per step.
+    """
+    keep = [c for c in folded.columns if c not in (*columns, "clicks", "h0", "n_steps", states)]
+    zipped = F.arrays_zip(*columns)
+    rows = folded.select(*keep, "clicks", states, F.posexplode(zipped).alias("t", "s")).where(
+        F.col("s.click") != PAD)
+    done = F.size(F.filter("clicks", lambda c: c["t"] < F.col("t")))
+    return rows.select(*keep, "t", *[F.col(f"s.{c}").alias(c) for c in columns],
+                       F.get(states, done).alias("z"))
+
+
 def state_at(folded: DataFrame, t: int = -1, states: str = "states") -> DataFrame:
     """(row_idx, user_id, vec) at one step; -1 is the state after all steps."""
     if t < 0:
@@ -183,11 +199,11 @@ def amortized_start(log, itemvec, dim, decay, scale_factor, masked=True, reserve
     fold = lambda f: F.aggregate("c", zero, f)
     stats = per_user.withColumn(
         "mean", fold(lambda a, c: F.zip_with(a, c["vec"], lambda s, x: s + c["w"] * x))
-    ).withColumn(
-        "centre", fold(lambda a, c: F.zip_with(a, c["vec"], lambda s, x: s + x / F.col("n")))
-    ).withColumn("spread", fold(lambda a, c: F.zip_with(
-        a, F.zip_with(c["vec"], F.col("centre"), lambda x, m: (x - m) * (x - m) * c["v"]),
-        lambda s, x: s + x)))
+    ).withColumn("spread", let(
+        fold(lambda a, c: F.zip_with(a, c["vec"], lambda s, x: s + x / F.col("n"))),
+        lambda centre: fold(lambda a, c: F.zip_with(
+            a, F.zip_with(c["vec"], centre, lambda x, m: (x - m) * (x - m) * c["v"]),
+            lambda s, x: s + x))))
     rows = keep.select("row_idx", "user_id").join(
         stats.select("row_idx", "mean", "spread"), "row_idx", "left")
     scale = F.transform(F.coalesce("spread", zero),

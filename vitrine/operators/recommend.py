@@ -87,17 +87,19 @@ def _block_count(df, most, least=None, tasks=None):
     return F.greatest(blocks, F.lit(1)).cast("int")
 
 
-def score_blocks(queries, items, k, dist="dot", max_users=MAX_USERS, max_items=MAX_ITEMS):
+def score_blocks(queries, items, k, dist="dot", max_users=MAX_USERS, max_items=MAX_ITEMS,
+                 sized_like=None):
     """Best ``k`` items of every item block for every query row.
 
     ``queries`` (draw, row_idx, t, vec), ``items`` (draw, item_id, vec).  Users
     and items are cut into blocks of bounded size; every pair of blocks of the
     same draw is one group, whose kernel returns at most ``k`` rows per user.
-    Blocks are replicated, single rows never meet one by one.
+    Blocks are replicated, single rows never meet one by one.  ``sized_like`` may
+    name a cheaper DataFrame with as many rows as ``queries``.
     """
     spark = queries.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_users = _block_count(queries, max_users, MIN_USERS, tasks)
+    n_users = _block_count(queries if sized_like is None else sized_like, max_users, MIN_USERS, tasks)
     n_items = _block_count(items, max_items)
     spread = F.xxhash64(*QUERY)
     left = (
@@ -176,7 +178,8 @@ def topk_inslate_thompson(states, posterior, k, temp=1.0, seed=0, dist="dot") ->
 
     draws = list(range(k))
     items = posterior_draw(posterior, draws, temp, seed)
-    copies = states.withColumn("draw", F.explode(F.array(*[F.lit(d) for d in draws])))
+    every = F.explode(F.array(*[F.lit(d) for d in draws]))
+    copies = states.withColumn("draw", every)
     ranked = topk_states(copies, items, k, dist)
     listed = ranked.groupBy("row_idx").agg(
         F.array_sort(F.collect_list(F.struct("rank", "draw", "item_id"))).alias("s"))

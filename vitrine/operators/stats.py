@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitrine.functions.joins import gather
 from vitrine.functions.vectors import distance
 from vitrine.operators.reshape import explode_exposures, explode_interactions
 from vitrine.schema import FIRST_REAL, NO_CLICK, PAD
@@ -128,7 +129,7 @@ def value_histogram(rows, value: Column, bins: int = 100) -> DataFrame:
 def category_counts(items) -> DataFrame:
     """Every item with the number of items in its category."""
     sizes = items.groupBy("category_id").agg(F.count("*").alias("n"))
-    return items.join(sizes, "category_id").select(
+    return gather(items, sizes, "category_id", "category_id", spread=("item_id",)).select(
         "item_id", "category_id", F.col("n").cast("bigint").alias("n"))
 
 
@@ -142,7 +143,8 @@ def item_report(views, posterior, items, vocab, groups, skip: int = 3) -> DataFr
     """
     names = vocab.where(F.col("attr") == "category").select(
         F.col("idx").alias("category_id"), F.substring("value", 1, 3).alias("vertical"))
-    named = category_counts(items).join(names, "category_id")
+    sized = category_counts(items)
+    named = gather(sized, names, "category_id", "category_id", spread=("item_id",))
     # a handful of verticals
     first = named.groupBy("vertical").agg(F.min("item_id").alias("at"))
     kept = first.withColumn("rn", F.row_number().over(Window.orderBy("at"))).where(
@@ -150,8 +152,9 @@ def item_report(views, posterior, items, vocab, groups, skip: int = 3) -> DataFr
     g = groups.select(F.col("id").cast("int").alias("category_id"),
                       F.col("vec").alias("gvec"), F.col("scale").alias("gscale"))
     p = posterior.select(F.col("id").cast("int").alias("item_id"), "vec", "scale")
-    rows = named.join(kept, "vertical", "left_semi").join(p, "item_id").join(
-        g, "category_id").join(views, "item_id")
+    chosen = gather(named, kept, "vertical", "vertical", spread=("item_id",))
+    rows = gather(chosen.join(p, "item_id"), g, "category_id", "category_id",
+                  spread=("item_id",)).join(views, "item_id")
     size = F.size("scale")
     return rows.select(
         "item_id",
@@ -164,11 +167,11 @@ def item_report(views, posterior, items, vocab, groups, skip: int = 3) -> DataFr
     )
 
 
-def density_2d(rows, x: Column, y: Column, by: str = "vertical", per_decade: int = 10):
+def density_2d(rows, x: Column, y: Column, by=("vertical",), per_decade: int = 10):
     """Log-log cell counts per ``by``; non-positive values have no cell."""
     cell = lambda c: F.floor(F.log10(c) * per_decade).cast("int")
     return rows.where((x > 0) & (y > 0)).groupBy(
-        by, cell(x).alias("bx"), cell(y).alias("by")).agg(F.count("*").cast("bigint").alias("n"))
+        *by, cell(x).alias("bx"), cell(y).alias("by")).agg(F.count("*").cast("bigint").alias("n"))
 
 
 def num_obs(phased) -> DataFrame:

@@ -72,7 +72,8 @@ def bits(c):
 # ---- shared inputs --------------------------------------------------------
 
 def n_items(t):
-    return validate.num_items(t.log)
+    """Stored with the log; dataset_dims is the query that computes it."""
+    return t.dims.select("num_items").scalar()
 
 
 def split_log(t, *columns):
@@ -88,11 +89,6 @@ def phased(t, *columns):
         "phase", split.phase_of_step())
 
 
-def observed(t):
-    return reshape.observed_step_filter(phased(t, "click_idx")).select(
-        "row_idx", "user_id", "t", "click_idx", "phase")
-
-
 def posterior(t):
     scale = F.array_repeat(F.lit(0.05) + F.lit(0.01) * (F.col("id") % 5), F.size("vec"))
     return t.itemvec.withColumn("scale", scale)
@@ -116,23 +112,30 @@ def itemvec_hat(t):
         "id", F.zip_with("vec", "nxt", lambda a, b: (a + b) * 0.5).alias("vec"))
 
 
-def started(t, itemvec=None, dim=None):
+def started(t, itemvec=None, dim=None, log=None, keep=()):
     """Click vectors and start vectors of every user."""
     vecs, users = itemvec if itemvec is not None else t.itemvec, t.uservec
     if dim:
         vecs = vecs.withColumn("vec", F.slice("vec", 1, dim))
         users = users.withColumn("vec", F.slice("vec", 1, dim))
-    return profile.profile_start(profile.click_vectors(t.log, vecs), "normal", dim or DIM, users)
+    clicked = profile.click_vectors(log if log is not None else t.log, vecs, keep)
+    return profile.profile_start(clicked, "normal", dim or DIM, users)
 
 
-def linear(t, itemvec=None):
-    return profile.fold_linear(started(t, itemvec), GAMMA)
+def linear(t, itemvec=None, log=None, keep=()):
+    return profile.fold_linear(started(t, itemvec, None, log, keep), GAMMA)
 
 
-def shown_scores(t, itemvec=None):
+def shown_scores(t, itemvec=None, observed=False):
+    """Slate scores of all steps, or of the observed ones with their phase."""
     vecs = itemvec if itemvec is not None else t.itemvec
-    return scoring.slate_scores(
-        t.log, profile.step_states(linear(t, vecs)), vecs, BIAS, SOFTMAX_MULT)
+    cols = ("click", "click_idx", "slate")
+    log = split_log(t, *cols) if observed else t.log
+    folded = linear(t, vecs, log, (*cols, *(["split"] if observed else [])))
+    steps = profile.steps_with_state(folded, cols)
+    if observed:
+        steps = reshape.observed_step_filter(steps).withColumn("phase", split.phase_of_step())
+    return scoring.slate_scores(steps.drop("click", "split"), vecs, BIAS, SOFTMAX_MULT)
 
 
 def top_items(t, users=None, itemvec=None, dist="dot", k=TOP_K):
@@ -509,12 +512,15 @@ def posterior_draw(t):
 
 @query
 def sample_click(t):
-    last = F.size(F.array_remove("click", 0)) - 1
-    at = t.log.select("row_idx", last.alias("t"),
-                      (F.element_at("click", -1) != 0).alias("click_at_end"))
-    scores = shown_scores(t).join(at, ["row_idx", "t"])
-    drawn = sampling.sample_click(scores)
-    return drawn.join(at, ["row_idx", "t"]).select("user_id", "t", "pos", "click_at_end")
+    """At every user's last observed step."""
+    cols = ("click", "slate")
+    folded = linear(t, keep=cols).withColumn("last", F.size(F.array_remove("click", 0)) - 1)
+    steps = profile.steps_with_state(folded, cols).where(F.col("t") == F.col("last"))
+    scores = scoring.slate_scores(
+        steps.drop("click", "last"), t.itemvec, BIAS, SOFTMAX_MULT)
+    full = t.log.select("row_idx", (F.element_at("click", -1) != 0).alias("click_at_end"))
+    return sampling.sample_click(scores).join(full, "row_idx").select(
+        "user_id", "t", "pos", "click_at_end")
 
 
 # ---- aggregations ---------------------------------------------------------
@@ -596,9 +602,11 @@ def item_report(t):
 
 @query
 def density_2d(t):
-    one = stats.density_2d(_report(t), F.col("views"), F.col("mean_scale"))
-    two = stats.density_2d(_report(t), F.col("views"), F.col("dist_vec"))
-    return one.withColumn("y", F.lit("mean_scale")).unionByName(two.withColumn("y", F.lit("dist_vec")))
+    metric = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("y"), F.col(c).alias("value")) for c in ("mean_scale", "dist_vec")]))
+    rows = _report(t).select("vertical", "views", metric.alias("m")).select(
+        "vertical", "views", "m.y", "m.value")
+    return stats.density_2d(rows, F.col("views"), F.col("value"), ("vertical", "y"))
 
 
 @query
@@ -679,7 +687,7 @@ def slate_softmax(t):
 
 @query
 def slate_loglik(t):
-    raw = scoring.slate_loglik(shown_scores(t), observed(t))
+    raw = scoring.slate_loglik(shown_scores(t, observed=True))
     return raw.select("phase", r6("loglik").alias("loglik"),
                       r6(F.col("loglik") / TEMPERATURE).alias("tempered"))
 
@@ -702,9 +710,9 @@ def mf_scaled_loss(t):
 
 @query
 def prob_mae(t):
-    probs = scoring.slate_softmax(shown_scores(t))
-    probs_hat = scoring.slate_softmax(shown_scores(t, itemvec_hat(t)))
-    return scoring.prob_mae(probs, probs_hat, observed(t)).withColumn("prob_mae", r6("prob_mae"))
+    probs = scoring.slate_softmax(shown_scores(t, observed=True))
+    probs_hat = scoring.slate_softmax(shown_scores(t, itemvec_hat(t), observed=True))
+    return scoring.prob_mae(probs, probs_hat).withColumn("prob_mae", r6("prob_mae"))
 
 
 def _priors(t):
@@ -718,7 +726,7 @@ def hier_log_prior(t):
 
 @query
 def elbo_terms(t):
-    loglik = scoring.slate_loglik(shown_scores(t), observed(t), TEMPERATURE).where(
+    loglik = scoring.slate_loglik(shown_scores(t, observed=True), TEMPERATURE).where(
         "phase = 'train'")
     prior = _priors(t).agg((F.sum("log_prior") / PRIOR_TEMPERATURE).alias("log_prior"))
     log_q = scoring.posterior_entropy_term(posterior(t))
@@ -787,14 +795,15 @@ def topk_items(t):
 @query
 def topk_at_step(t):
     states = profile.state_at(linear(t), T_SPLIT)
-    ranked = recommend.topk_states(states, t.itemvec, TOP_K)
+    ranked = recommend.topk_states(states, t.itemvec, TOP_K, sized_like=t.users)
     return with_user(ranked, t).select("user_id", "item_id", "rank", r6("score").alias("score"))
 
 
 @query
 def topk_over_time(t):
-    states = profile.step_states(linear(t)).where(F.col("t") < 10)
-    ranked = recommend.topk_states(states, t.itemvec, 5, "l2")
+    states = profile.step_states(linear(t), upto=9)
+    steps = t.users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    ranked = recommend.topk_states(states, t.itemvec, 5, "l2", sized_like=steps)
     return with_user(ranked, t).select("user_id", "t", "item_id", "rank", r6("score").alias("score"))
 
 
@@ -816,8 +825,10 @@ def rank_from_order(t):
 def category_report(t):
     reserved = t.items.where(F.col("item_id") < FIRST_REAL).select(
         F.col("item_id").cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), DIM).alias("vec"))
-    states = profile.step_states(linear(t)).where(F.col("t") < 10)
-    ranked = recommend.topk_states(states, t.itemvec.unionByName(reserved), 2, reserved=True)
+    states = profile.step_states(linear(t), upto=9)
+    steps = t.users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    ranked = recommend.topk_states(
+        states, t.itemvec.unionByName(reserved), 2, reserved=True, sized_like=steps)
     return recommend.category_report(t.log, ranked, t.items, t.vocab)
 
 
@@ -840,7 +851,8 @@ def hitrate(t):
 @query
 def hitrate_by_phase(t):
     states = profile.state_at(linear(t), T_SPLIT)
-    recs = recommend.rec_lists(recommend.topk_states(states, t.itemvec, TOP_K))
+    recs = recommend.rec_lists(recommend.topk_states(
+        states, t.itemvec, TOP_K, sized_like=t.users))
     return metrics.hitrate_by_phase(mask_types(t), recs).withColumn("hitrate", r6("hitrate"))
 
 

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vitrine.functions.hashing import hash60
+from vitrine.functions.joins import gather
 from vitrine.functions.ranking import global_row_number
+from vitrine.operators.validate import dataset_dims
 from vitrine.schema import FIRST_REAL, MAX_SLATE, MAX_STEPS, NO_CLICK, UNKNOWN
 from vitrine.sources import log as logs
 from vitrine.sources.shared import new_path
@@ -96,7 +98,9 @@ def wide_log(spark, sf_dir) -> DataFrame:
 def user_index(spark, sf_dir) -> DataFrame:
     """(row_idx, user_id): users with at least one slate, numbered by id."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    # repeated keys collapse before the join
+    lines = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey")).distinct()
     users = orders.join(lines, "o_orderkey", "left_semi").select(
         F.col("o_custkey").alias("user_id")
     ).distinct()
@@ -138,7 +142,8 @@ def user_vectors(spark, sf_dir, users: DataFrame) -> DataFrame:
     emb = _table(spark, sf_dir, "embeddings")
     n = emb.agg(F.count("*")).scalar()
     keyed = users.withColumn("vec_id", hash60("user", F.col("user_id")) % n)
-    return keyed.join(emb.select("vec_id", "embedding"), "vec_id").select(
+    vecs = emb.select("vec_id", "embedding")
+    return gather(keyed, vecs, "vec_id", "vec_id", spread=("user_id",)).select(
         F.col("user_id").alias("id"), "row_idx", F.col("embedding").cast("array<double>").alias("vec")
     )
 
@@ -180,6 +185,10 @@ class SlateTables:
     def vocab(self):
         return logs.scan_vocab(self.spark, f"{self.root}/vocab", whole_file=False)
 
+    @property
+    def dims(self):
+        return self.spark.read.parquet(f"{self.root}/dims")
+
     @property
     def itemvec(self):
         return logs.scan_vectors(self.spark, f"{self.root}/itemvec")
@@ -196,10 +205,13 @@ def write_tables(spark, sf_dir, root) -> None:
         log.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
         .write.mode("overwrite").parquet(f"{root}/log")
     )
-    users = spark.read.parquet(f"{root}/log").select("row_idx", "user_id")
+    stored = logs.scan_slate_log(spark, f"{root}/log")
+    users = stored.select("row_idx", "user_id")
     catalogue = items(spark, sf_dir)
     catalogue.select("item_id", "category_id").write.mode("overwrite").parquet(f"{root}/items")
     logs.sink_vocab(vocab(catalogue), f"{root}/vocab")
+    words = logs.scan_vocab(spark, f"{root}/vocab", whole_file=False)
+    dataset_dims(stored, words).write.mode("overwrite").parquet(f"{root}/dims")
     item_vectors(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/itemvec")
     user_vectors(spark, sf_dir, users).write.mode("overwrite").parquet(f"{root}/uservec")
 

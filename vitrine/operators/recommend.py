@@ -23,18 +23,23 @@ def _matrix(column):
     return flat.reshape(len(column), -1)
 
 
-def _exact(dist, x, y):
-    """Scores of paired rows, summed in index order like the column expression."""
-    dot = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        dot += x[:, j] * y[:, j]
+def _ordered_sum(n, dim, term):
+    """Sum of term(j) in index order, as the column expressions add it up."""
+    out = np.zeros(n)
+    for j in range(dim):
+        out += term(j)
+    return out
+
+
+def _exact(dist, x, r, y, c):
+    """Scores of the pairs (x[r], y[c]); equal vectors give equal scores."""
+    dim = x.shape[1]
+    dot = _ordered_sum(len(r), dim, lambda j: x[r, j] * y[c, j])
     if dist == "dot":
         return dot
-    xx, yy = np.zeros(len(x)), np.zeros(len(y))
-    for j in range(x.shape[1]):
-        xx += x[:, j] * x[:, j]
-        yy += y[:, j] * y[:, j]
-    return -np.sqrt(np.maximum(xx - 2.0 * dot + yy, 1e-10))
+    xx = _ordered_sum(len(x), dim, lambda j: x[:, j] * x[:, j])
+    yy = _ordered_sum(len(y), dim, lambda j: y[:, j] * y[:, j])
+    return -np.sqrt(np.maximum(xx[r] - 2.0 * dot + yy[c], 1e-10))
 
 
 def _block_kernel(k, dist):
@@ -63,7 +68,7 @@ def _block_kernel(k, dist):
                 r, c = np.nonzero(rough >= (kth - slack)[:, None])
             else:
                 r, c = np.nonzero(np.ones_like(rough, dtype=bool))
-            s = _exact(dist, part[r], y[c])
+            s = _exact(dist, part, r, y, c)
             order = np.lexsort((ids[c], -s, r))
             r, c, s = r[order], c[order], s[order]
             first = np.searchsorted(r, r, side="left")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from vitrine.functions.vectors import let
 from vitrine.schema import (
     FIRST_REAL, MAX_SLATE, MAX_STEPS, PAD, STEP_COLUMNS, T_SPLIT, UNKNOWN,
 )
@@ -47,27 +48,22 @@ def pack_interactions(
         F.array_sort(F.collect_list(step)).alias("s")
     )
     by_t = F.map_from_arrays(F.col("s.t"), F.col("s"))
-    users = users.select("row_idx", "user_id", by_t.alias("m"),
-                         F.greatest(F.lit(n_steps), F.array_max("s.t") + 1).alias("n"))
-    steps = F.sequence(F.lit(0), F.col("n") - 1)
-
-    def dense(field, fill):
-        return F.transform(
-            steps, lambda t: F.coalesce(F.try_element_at(F.col("m"), t)[field], fill)
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(n_steps), F.array_max("s.t") + 1) - 1)
+
+    def full(step):
+        slate = F.coalesce(step["slate"], F.array().cast("array<int>"))
+        return F.struct(
+            *[F.coalesce(step[c], F.lit(0)).alias(c)
+              for c in ("click", "click_idx", "slate_length", "interaction_type")],
+            F.concat(slate, F.array_repeat(F.lit(PAD), F.lit(n_slots) - F.size(slate))).alias("slate"),
         )
 
-    def padded(slate):
-        return F.concat(slate, F.array_repeat(F.lit(PAD), F.lit(n_slots) - F.size(slate)))
-
-    blank = F.array_repeat(F.lit(PAD), n_slots)
+    dense = let(by_t, lambda m: F.transform(steps, lambda t: full(F.try_element_at(m, t))))
+    users = users.select("row_idx", "user_id", dense.alias("d"))
     return users.select(
-        "row_idx", "user_id",
-        dense("click", F.lit(PAD)).alias("click"),
-        dense("click_idx", F.lit(0)).alias("click_idx"),
-        dense("slate_length", F.lit(0)).alias("slate_lengths"),
-        dense("interaction_type", F.lit(0)).alias("interaction_type"),
-        F.transform(steps, lambda t: F.coalesce(
-            padded(F.try_element_at(F.col("m"), t)["slate"]), blank)).alias("slate"),
+        "row_idx", "user_id", F.col("d.click"), F.col("d.click_idx"),
+        F.col("d.slate_length").alias("slate_lengths"), F.col("d.interaction_type"),
+        F.col("d.slate"),
     )
 
 

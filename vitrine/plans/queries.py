@@ -144,10 +144,6 @@ def top_items(t, users=None, itemvec=None, dist="dot", k=TOP_K):
         itemvec if itemvec is not None else t.itemvec, k, dist)
 
 
-def test_users(t):
-    return split_log(t).where(F.col("split") == "test")
-
-
 def views(t):
     return stats.item_view_counts(t.log, n_items(t))
 
@@ -842,10 +838,10 @@ def recs_in_external_list(t):
 
 @query
 def hitrate(t):
-    held = test_users(t)
-    users = t.uservec.join(held, "row_idx", "left_semi")
-    recs = recommend.rec_lists(top_items(t, users))
-    return metrics.hitrate(split_log(t), recs).withColumn("hitrate", r6("hitrate"))
+    def best(users):
+        return top_items(t, t.uservec.join(users, "row_idx", "left_semi"))
+
+    return metrics.hitrate_of(split_log(t), best).withColumn("hitrate", r6("hitrate"))
 
 
 @query

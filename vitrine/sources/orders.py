@@ -37,23 +37,23 @@ def slates(spark, sf_dir) -> DataFrame:
     """(order_key, slate, click_idx, click) per order with lines.
 
     Repeated lines collapse before the shuffle, so a slate is gathered from
-    distinct items only and is bounded by the catalogue.
+    distinct parts only and is bounded by the catalogue.  An item stands where it
+    first appears.
     """
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     unknown = hash60("unk", F.col("l_orderkey"), F.col("l_partkey")) % 50 == 0
     item = F.when(unknown, F.lit(UNKNOWN)).otherwise(
         (FIRST_REAL + F.col("l_partkey") % item_limit(spark, sf_dir)).cast("int")
     )
-    shown = line.groupBy("l_orderkey", item.alias("item_id")).agg(
-        F.min("l_linenumber").alias("ln")
-    )
-    placed = shown.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        F.array_sort(F.collect_list(F.struct("ln", "item_id"))).alias("placed")
-    )
-    placed = placed.withColumn("h", hash60("click", F.col("order_key")))
+    shown = line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln")).select(
+        F.col("l_orderkey").alias("order_key"), "ln", item.alias("item_id"))
+    listed = F.array_sort(F.collect_list(F.struct("ln", "item_id")))
+    placed = shown.groupBy("order_key").agg(listed.alias("s")).select(
+        "order_key", F.array_distinct("s.item_id").alias("placed"),
+        hash60("click", F.col("order_key")).alias("h"))
     return placed.select(
         "order_key",
-        F.concat(F.array(F.lit(NO_CLICK)), F.col("placed.item_id")).alias("slate"),
+        F.concat(F.array(F.lit(NO_CLICK)), F.col("placed")).alias("slate"),
         F.expr("if(h % 5 < 2, 0, cast(1 + (h div 5) % size(placed) as int))").alias("click_idx"),
     ).withColumn("click", F.get("slate", F.col("click_idx")))
 

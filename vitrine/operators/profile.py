@@ -36,8 +36,12 @@ def profile_start(users, kind, dim, table=None, matrix=None) -> DataFrame:
     """Add ``h0``: zeros, the user's own vector, or a low-rank one times a matrix."""
     if kind == "zero":
         return users.withColumn("h0", zeros(dim))
-    own = table.select(F.col("id").alias("user_id"), F.col("vec").alias("h0"))
-    rows = users.join(own, "user_id")
+    # states are grouped by row_idx: joining on it too keeps them where they are
+    if "row_idx" in table.columns and "row_idx" in users.columns:
+        rows = users.join(table.select("row_idx", F.col("vec").alias("h0")), "row_idx")
+    else:
+        own = table.select(F.col("id").alias("user_id"), F.col("vec").alias("h0"))
+        rows = users.join(own, "user_id")
     if kind == "compact_normal":
         rows = rows.withColumn("h0", matvec(matrix, F.col("h0")))
     elif kind != "normal":

@@ -84,12 +84,14 @@ def mf_fit(train_steps, valid_steps, users, item_ids, num_items: Column, dim=9,
     ``train_steps`` and ``valid_steps`` are the real clicks of their phase
     (row_idx, user_id, t, click).  Negatives are redrawn every epoch.  Parameters
     and moments are written after each step, which cuts the lineage: lost
-    executors never replay earlier epochs.  An epoch reads the log once; its
-    per-step pulls are cached for the two gradients and the train loglik, which
-    is that of the parameters the epoch started with.  The driver holds two
-    numbers per epoch.
+    executors never replay earlier epochs.  The clicks are
+    written once as well.  An epoch goes over them once; its per-step pulls are
+    cached for the two gradients and the train loglik, which is that of the
+    parameters the epoch started with.  The driver holds two numbers per epoch.
     """
     spark = users.sparkSession
+    # ids only: later epochs neither split the log nor read it again
+    train_steps, valid_steps = cut_lineage(train_steps), cut_lineage(valid_steps)
     u = cut_lineage(_with_moments(mf_init(users, dim, "user", seed)))
     v = cut_lineage(_with_moments(mf_init(item_ids, dim, "item", seed)))
     metrics, best = [], None

@@ -2,8 +2,11 @@
 
 Written from the definitions, as plain relational SQL over the order tables;
 none of the Spark operators' own steps (cut points, blocks, folds) are used.
+Only parameters (weights, rates) are shared with the queries.
 """
 
+from vitrine.plans.queries import MF_EPOCHS, MF_RATE, gru_weights
+
 
 def H(*parts):
     """60-bit hash of the parts joined by ':'."""
@@ -280,6 +283,80 @@ mfcand AS (
   WHERE phase = 'train')
 """
 
+
+
+def _matrix(weights):
+    rows = ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in weights)
+    return f"[{rows}]"
+
+
+def _times(weights, x):
+    return f"list_transform({_matrix(weights)}, lambda r: list_dot_product(r, {x}))"
+
+
+def _gru(w):
+    """States after 0, 1, ... real clicks by plain recursion over the clicks."""
+    gate = "lambda z: 1 / (1 + exp(-(z[1] + z[2])))"
+    return f"""
+gru AS (
+  SELECT row_idx, CAST(0 AS BIGINT) AS n, vec[1:8] AS h FROM uservec
+  UNION ALL
+  SELECT row_idx, n + 1, list_transform(list_zip(list_transform(
+      list_zip(reset, {_times(w['in'], 'x')}, {_times(w['hn'], 'h')}), lambda z: tanh(z[2] + z[1] * z[3])),
+      keep, h), lambda z: (1 - z[2]) * z[1] + z[2] * z[3])
+  FROM (SELECT row_idx, n, h, x,
+          list_transform(list_zip({_times(w['ir'], 'x')}, {_times(w['hr'], 'h')}), {gate}) AS reset,
+          list_transform(list_zip({_times(w['id'], 'x')}, {_times(w['hd'], 'h')}), {gate}) AS keep
+        FROM (SELECT g.row_idx, g.n, g.h, v.vec[1:8] AS x FROM gru g
+              JOIN rc ON rc.row_idx = g.row_idx AND rc.k = g.n + 1 JOIN itemvec v ON v.id = rc.click))),
+grustate AS (
+  SELECT b.row_idx, b.user_id, b.t, {_times(w['z'], 'g.h')} AS z FROM clicks_before b
+  JOIN gru g ON g.row_idx = b.row_idx AND g.n = b.n)
+"""
+
+
+def _fit(epochs, lr):
+    """Full-gradient AdamW, unrolled: parameters in long form per epoch."""
+    parts = ["""
+par0 AS (
+  SELECT 'user' AS kind, id, g.d, vec[g.d + 1] AS w, 0::DOUBLE AS m, 0::DOUBLE AS v
+  FROM mfuser CROSS JOIN range(9) g(d)
+  UNION ALL SELECT 'item', id, g.d, vec[g.d + 1], 0::DOUBLE, 0::DOUBLE FROM mfitem CROSS JOIN range(9) g(d))"""]
+
+    def logliks(name, epoch, phase, params):
+        return f"""
+{name}c AS (
+  SELECT user_id, t, 0 AS c, click AS item_id FROM phased WHERE click >= 3 AND phase = '{phase}'
+  UNION ALL SELECT user_id, t, g.j, 3 + {H('=cand', '=1', '=' + phase, f'={epoch}', 'user_id', 't', 'g.j')} % (n_items - 3)
+  FROM phased CROSS JOIN range(1, 5) g(j) CROSS JOIN widths WHERE click >= 3 AND phase = '{phase}'),
+{name}s AS (
+  SELECT c.user_id, c.t, c.c, c.item_id, sum(u.w * i.w) AS s FROM {name}c c
+  JOIN {params} u ON u.kind = 'user' AND u.id = c.user_id
+  JOIN {params} i ON i.kind = 'item' AND i.id = c.item_id AND i.d = u.d GROUP BY ALL),
+{name}q AS (
+  SELECT *, s - ln(sum(exp(s)) OVER (PARTITION BY user_id, t)) AS ll FROM {name}s)"""
+
+    for e in range(epochs):
+        c1, c2 = 1 - 0.9 ** (e + 1), 1 - 0.999 ** (e + 1)
+        parts.append(logliks(f"tr{e}", e, "train", f"par{e}"))
+        parts.append(f"""
+grad{e} AS (
+  SELECT 'user' AS kind, q.user_id AS id, i.d, sum(((q.c = 0)::INT - exp(q.ll)) * i.w) AS g
+  FROM tr{e}q q JOIN par{e} i ON i.kind = 'item' AND i.id = q.item_id GROUP BY ALL
+  UNION ALL
+  SELECT 'item', q.item_id, u.d, sum(((q.c = 0)::INT - exp(q.ll)) * u.w)
+  FROM tr{e}q q JOIN par{e} u ON u.kind = 'user' AND u.id = q.user_id GROUP BY ALL),
+mom{e} AS (
+  SELECT p.kind, p.id, p.d, p.w, 0.9::DOUBLE * p.m - 0.1::DOUBLE * coalesce(g.g, 0) AS m,
+    0.999::DOUBLE * p.v + 0.001::DOUBLE * coalesce(g.g, 0) * coalesce(g.g, 0) AS v
+  FROM par{e} p LEFT JOIN grad{e} g ON g.kind = p.kind AND g.id = p.id AND g.d = p.d),
+par{e + 1} AS (
+  SELECT kind, id, d, m, v, w * (1 - {lr}::DOUBLE * 0.01::DOUBLE)
+    - {lr}::DOUBLE * (m / {c1!r}::DOUBLE) / (sqrt(v / {c2!r}::DOUBLE) + 1e-8::DOUBLE) AS w FROM mom{e})""")
+        parts.append(logliks(f"va{e}", e, "valid", f"par{e + 1}"))
+    return ",".join(parts)
+
+
 # log in text form, one row per user
 WIDE = f"""
 per_user AS (
@@ -522,7 +599,7 @@ BODIES = {
       FROM stepll GROUP BY 1""",
     "mf_sampled_loglik": f"SELECT phase, {r6('sum(ll)')} AS loglik FROM mfll GROUP BY 1",
     "mf_scaled_loss": f"""
-      SELECT b.phase, b.batch_id, {r6('-coalesce(sum(l.ll), 0) * (SELECT count(*) FROM users) / count(DISTINCT b.row_idx)', 4)} AS loss
+      SELECT b.phase, b.batch_id, {r6('-coalesce(sum(l.ll), 0) * (SELECT max(user_id) + 1 FROM users) / count(DISTINCT b.row_idx)', 4)} AS loss
       FROM (SELECT phase, row_idx, (row_number() OVER (PARTITION BY phase ORDER BY CASE WHEN phase = 'train'
               THEN {H('=batch', '=0', '=0', 'row_idx')} ELSE rk END, row_idx) - 1) // 100 AS batch_id
             FROM member) b LEFT JOIN mfll l ON l.row_idx = b.row_idx AND l.phase = b.phase GROUP BY 1, 2""",
@@ -565,6 +642,10 @@ BODIES = {
                         FROM step s JOIN mask m ON m.row_idx = s.row_idx AND m.t = s.t))) s
           JOIN itemdim v ON v.id = s.click) c GROUP BY 1, 2) a
       ON a.row_idx = u.row_idx AND a.d = g.d GROUP BY 1""",
+    "profile_gru": f"SELECT user_id, t, {millionths('z')} AS vec FROM grustate",
+    "profile_linear_gru": f"""
+      SELECT g.user_id, g.t, {millionths('list_transform(list_zip(g.z, s.vec[1:8]), lambda p: (p[1] + p[2]) * 0.5::DOUBLE)')} AS vec
+      FROM grustate g JOIN state s ON s.row_idx = g.row_idx AND s.t = g.t""",
     # top-k
     "topk_items": f"SELECT user_id, item_id, rank, {r6('s')} AS score FROM top20",
     "topk_at_step": f"""
@@ -642,4 +723,17 @@ BODIES = {
         FROM mfcand CROSS JOIN range(9) g(d) GROUP BY 2, 3) GROUP BY 1, 2""",
 }
 
-ORACLES = {name: f"WITH {BASE}, {WIDE} {body}" for name, body in BODIES.items()}
+BODIES["mf_fit"] = " UNION ALL ".join(
+    f"""SELECT CAST({e} AS INT) AS epoch, {r6(f'(SELECT sum(ll) FROM tr{e}q WHERE c = 0)', 4)} AS train_loglik,
+      {r6(f'(SELECT sum(ll) FROM va{e}q WHERE c = 0)', 4)} AS valid_loglik""" for e in range(MF_EPOCHS))
+
+# definitions only some queries need
+EXTRA = {
+    "profile_gru": _gru(gru_weights()),
+    "profile_linear_gru": _gru(gru_weights()),
+    "mf_fit": _fit(MF_EPOCHS, MF_RATE),
+}
+
+ORACLES = {
+    name: f"WITH RECURSIVE {BASE}, {EXTRA.get(name, WIDE)} {body}" for name, body in BODIES.items()
+}

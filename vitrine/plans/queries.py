@@ -21,6 +21,8 @@ from vitrine.sources.shared import new_path
 DIM = 64
 SMALL_DIM = 8
 MF_DIM = 9
+MF_EPOCHS = 3
+MF_RATE = 0.01
 TOP_K = 20
 BATCH = 1024
 GAMMA = 0.8
@@ -701,7 +703,8 @@ def mf_sampled_loglik(t):
 @query
 def mf_scaled_loss(t):
     members = split.batch_assign(split.split_users_pct(t.users, t.users), 100)
-    return scoring.mf_scaled_loss(_mf_logliks(t), members, T_SPLIT).withColumn("loss", F.round("loss", 4))
+    n_users = t.dims.select("num_users").scalar()
+    return scoring.mf_scaled_loss(_mf_logliks(t), members, T_SPLIT, n_users).withColumn("loss", F.round("loss", 4))
 
 
 @query
@@ -911,5 +914,5 @@ def mf_fit(t):
     users = t.users.select(F.col("user_id").alias("id"))
     _, _, epochs = train.mf_fit(
         steps.where("phase = 'train'").drop("phase"), steps.where("phase = 'valid'").drop("phase"),
-        users, t.itemvec.select("id"), n_items(t), MF_DIM, epochs=3, lr=0.01)
+        users, t.itemvec.select("id"), n_items(t), MF_DIM, epochs=MF_EPOCHS, lr=MF_RATE)
     return epochs.withColumns({c: F.round(c, 4) for c in ("train_loglik", "valid_loglik")})

@@ -204,8 +204,10 @@ def test_fit_equals_numpy_adamw(spark):
     rows, steps = _steps(spark)
     real = steps.drop("allitem")
     lr, epochs = 0.05, 3
+    both = real.withColumn("phase", F.lit("train")).unionByName(
+        real.where("user_id < 2").withColumn("phase", F.lit("valid")))
     users, items, metrics = train.mf_fit(
-        real, real.where("user_id < 2"), spark.range(6), spark.range(3, 9), F.lit(9), 3, epochs, 2, lr)
+        both, spark.range(6), spark.range(3, 9), F.lit(9), 3, epochs, 2, lr)
     init = lambda ids, name: {r.id: np.array(r.vec) for r in train.mf_init(ids, 3, name).collect()}
     p = {"u": init(spark.range(6), "user"), "v": init(spark.range(3, 9), "item")}
     m = {k: {i: np.zeros(3) for i in t} for k, t in p.items()}

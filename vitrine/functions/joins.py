@@ -49,7 +49,7 @@ def hot_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=None,
-           how="inner", limit=None):
+           how="inner", limit=None, cluster_by=None):
     """Join on a unique id (inner or left), safe for ids that hold much of the data.
 
     A table measured small is broadcast.  Otherwise both sides shuffle on
@@ -57,9 +57,15 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
     for, by a hash of the ``spread`` columns, and only the table rows of hot ids
     are replicated.  Rows without an id spread over all tasks.  ``census`` may
     name a cheaper DataFrame to count ids on than ``rows``.
+
+    ``cluster_by`` names a column the result is grouped on next; the result is
+    then partitioned by it.  With a broadcast table that shuffle happens before
+    the join and moves ids only, not the attached values.
     """
     table = table.withColumnRenamed(table_key, key) if table_key != key else table
     if fits_broadcast(table, limit):
+        if cluster_by:
+            rows = rows.repartition(cluster_by)
         return rows.join(F.broadcast(table), key, how)
     # at most one row per shuffle partition
     hot = F.broadcast(hot_ids(rows if census is None else census, key))
@@ -69,4 +75,5 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
         "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
     right = table.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    joined = left.join(right, [key, "_salt"], how).drop("_salt")
+    return joined.repartition(cluster_by) if cluster_by else joined

@@ -41,10 +41,10 @@ def inverse_vocab_lookup(rows, entries, column) -> DataFrame:
 
 
 def gather_item_vectors(rows, itemvec, column="item_id", spread=("row_idx", "t"), census=None,
-                        how="inner"):
+                        how="inner", cluster_by=None):
     """Attach ``vec`` of each row's item; an inner join drops rows whose item has none."""
     table = itemvec.select(F.col("id").cast("int").alias("id"), "vec")
-    return gather(rows, table, column, "id", spread, census, how)
+    return gather(rows, table, column, "id", spread, census, how, cluster_by=cluster_by)
 
 
 def gather_user_vectors(rows, uservec) -> DataFrame:

@@ -23,7 +23,7 @@ def click_vectors(log, itemvec, keep=()) -> DataFrame:
     """
     ids = log.select("row_idx", "user_id", "click")
     real = explode_interactions(ids, ("click",)).where(F.col("click") >= FIRST_REAL)
-    seen = gather_item_vectors(real, itemvec, "click")
+    seen = gather_item_vectors(real, itemvec, "click", cluster_by="row_idx")
     grouped = seen.groupBy("row_idx").agg(
         F.array_sort(F.collect_list(F.struct("t", "vec"))).alias("clicks"))
     none = F.array().cast("array<struct<t:int,vec:array<double>>>")
@@ -194,7 +194,7 @@ def amortized_start(log, itemvec, dim, decay, scale_factor, masked=True, reserve
     if not reserved:
         # zero vectors add nothing to the plain mean and carry no weight
         steps = steps.where(F.col("click") >= FIRST_REAL)
-    seen = gather_item_vectors(steps, itemvec, "click")
+    seen = gather_item_vectors(steps, itemvec, "click", cluster_by="row_idx")
     per_user = seen.groupBy("row_idx").agg(
         F.max("n").alias("n"),
         F.collect_list(F.struct("w", "v", "vec")).alias("c"),

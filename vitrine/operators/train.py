@@ -77,21 +77,24 @@ def _with_moments(params):
     return params.withColumn("m", zero).withColumn("v", zero)
 
 
-def mf_fit(train_steps, valid_steps, users, item_ids, num_items: Column, dim=9, epochs=3,
-           negatives=4, lr=1e-3, seed=1):
+def mf_fit(steps, users, item_ids, num_items: Column, dim=9, epochs=3, negatives=4,
+           lr=1e-3, seed=1):
     """(users, items, metrics): full-gradient fit, best epoch by valid loglik.
 
-    ``train_steps`` and ``valid_steps`` are the real clicks of their phase
-    (row_idx, user_id, t, click).  Negatives are redrawn every epoch.  Parameters
-    and moments are written after each step, which cuts the lineage: lost
-    executors never replay earlier epochs.  The clicks are
-    written once as well.  An epoch goes over them once; its per-step pulls are
-    cached for the two gradients and the train loglik, which is that of the
-    parameters the epoch started with.  The driver holds two numbers per epoch.
+    ``steps`` are the real clicks (row_idx, user_id, t, click, phase), ``users``
+    and ``item_ids`` hold the ids.  Negatives are redrawn every epoch.
+
+    Clicks, parameters and moments are written, the latter two after each step:
+    lineage stays short and lost executors never replay earlier epochs.  An epoch
+    goes over the train clicks once; its per-step pulls are cached for the two
+    gradients and the train loglik, which is that of the parameters the epoch
+    started with.  The driver holds two numbers per epoch.
     """
     spark = users.sparkSession
-    # ids only: later epochs neither split the log nor read it again
-    train_steps, valid_steps = cut_lineage(train_steps), cut_lineage(valid_steps)
+    # ids only: epochs neither split the log nor read it again
+    steps = cut_lineage(steps.select("row_idx", "user_id", "t", "click", "phase"))
+    train_steps = steps.where(F.col("phase") == "train")
+    valid_steps = steps.where(F.col("phase") == "valid")
     u = cut_lineage(_with_moments(mf_init(users, dim, "user", seed)))
     v = cut_lineage(_with_moments(mf_init(item_ids, dim, "item", seed)))
     metrics, best = [], None

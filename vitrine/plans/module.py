@@ -80,12 +80,10 @@ class SlateModule:
 
     def fit(self, dim=9, epochs=100, negatives=4, lr=1e-3):
         """Matrix factorization on the train phase: (users, items, metrics)."""
-        real = self.steps().where(F.col("click") >= FIRST_REAL).select(
-            "row_idx", "user_id", "t", "click", "phase")
+        real = self.steps().where(F.col("click") >= FIRST_REAL)
         ids = self.items.select(F.col("item_id").cast("bigint").alias("id"))
         return train.mf_fit(
-            real.where("phase = 'train'"), real.where("phase = 'valid'"),
-            self.users.select(F.col("user_id").alias("id")), ids,
+            real, self.users.select(F.col("user_id").alias("id")), ids,
             F.lit(self.dims["num_items"]), dim, epochs, negatives, lr)
 
     def hitrate(self, users_vec, items_vec, k=10, dist="dot") -> DataFrame:

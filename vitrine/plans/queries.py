@@ -909,10 +909,8 @@ def mf_gradient(t):
 
 @query
 def mf_fit(t):
-    steps = phased(t).where(F.col("click") >= FIRST_REAL).select(
-        "row_idx", "user_id", "t", "click", "phase")
+    steps = phased(t).where(F.col("click") >= FIRST_REAL)
     users = t.users.select(F.col("user_id").alias("id"))
-    _, _, epochs = train.mf_fit(
-        steps.where("phase = 'train'").drop("phase"), steps.where("phase = 'valid'").drop("phase"),
-        users, t.itemvec.select("id"), n_items(t), MF_DIM, epochs=MF_EPOCHS, lr=MF_RATE)
+    _, _, epochs = train.mf_fit(steps, users, t.itemvec.select("id"), n_items(t), MF_DIM,
+                                epochs=MF_EPOCHS, lr=MF_RATE)
     return epochs.withColumns({c: F.round(c, 4) for c in ("train_loglik", "valid_loglik")})

@@ -83,13 +83,17 @@ def _block_kernel(k, dist):
     return run
 
 
-def _block_count(df, most, least=None, tasks=None):
-    """Number of blocks as a scalar of the row count."""
-    n = df.agg(F.count("*")).scalar()
-    blocks = F.ceil(n / most)
-    if least:
-        blocks = F.greatest(blocks, F.least(F.ceil(n / least), F.lit(tasks)))
-    return F.greatest(blocks, F.lit(1)).cast("int")
+def _block_counts(queries, items, max_users, max_items, tasks):
+    """Numbers of user and item blocks, as scalars of the two row counts.
+
+    As few blocks as their largest sizes allow, but, as long as user blocks do
+    not get tiny, two pairs of blocks per task.
+    """
+    n, m = (df.agg(F.count("*")).scalar() for df in (queries, items))
+    item_blocks = F.greatest(F.ceil(m / max_items), F.lit(1))
+    wanted = F.least(F.ceil(n / MIN_USERS), F.ceil(F.lit(2.0 * tasks) / item_blocks))
+    user_blocks = F.greatest(F.ceil(n / max_users), wanted, F.lit(1))
+    return user_blocks.cast("int"), item_blocks.cast("int")
 
 
 def score_blocks(queries, items, k, dist="dot", max_users=MAX_USERS, max_items=MAX_ITEMS,
@@ -104,8 +108,8 @@ def score_blocks(queries, items, k, dist="dot", max_users=MAX_USERS, max_items=M
     """
     spark = queries.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_users = _block_count(queries if sized_like is None else sized_like, max_users, MIN_USERS, tasks)
-    n_items = _block_count(items, max_items)
+    n_users, n_items = _block_counts(
+        queries if sized_like is None else sized_like, items, max_users, max_items, tasks)
     spread = F.xxhash64(*QUERY)
     left = (
         queries.select(*QUERY, "vec")

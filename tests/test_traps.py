@@ -280,6 +280,8 @@ def test_histogram_edges(spark):
     bins = dict(map(tuple, stats.popularity_histogram(views).collect()))
     assert len(bins) == 100 and bins[0] == 4 and bins[1] == 1 and bins[99] == 2
     assert sum(bins.values()) == 7                          # 1001 is outside
+    edges = spark.range(0, 1000, 10).select(F.col("id").alias("views"), F.lit(5).alias("item_id"))
+    assert set(_col(stats.popularity_histogram(edges), "n")) == {1}    # 290 opens bin 29
     same = stats.value_histogram(views.where("item_id < 3"), F.col("views"), 4)
     assert sum(_col(same, "n")) == 3
 

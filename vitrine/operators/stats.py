@@ -106,9 +106,14 @@ def histogram(rows, value: Column, low, high, bins: int = 100) -> DataFrame:
     """(bin, n): equal bins on [low, high], last one closed, outside dropped."""
     rows = rows.select(value.cast("double").alias("v"), low.alias("lo"), high.alias("hi"))
     inside = rows.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    share = F.coalesce(
-        F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    bin_ = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+    width = (F.col("hi") - F.col("lo")) / bins
+    guess = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), width), F.lit(0.0)))
+    inside = inside.withColumn("w", width).withColumn(
+        "b", F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1))).cast("int"))
+    # the division may round across an edge: the edges decide
+    below = F.col("v") < F.col("lo") + F.col("b") * F.col("w")
+    above = (F.col("v") >= F.col("lo") + (F.col("b") + 1) * F.col("w")) & (F.col("b") < bins - 1)
+    bin_ = F.col("b") - below.cast("int") + (above & (F.col("w") > 0)).cast("int")
     return _all_bins(
         inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")), bins)
 

@@ -546,11 +546,12 @@ BODIES = {
     "value_histogram": """
       SELECT name, CAST(g.b AS INT) AS bin, count(x.v) AS n
       FROM (VALUES ('scale'), ('vec')) k(name) CROSS JOIN range(100) g(b) LEFT JOIN (
-        SELECT *, least(floor((v - min(v) OVER (PARTITION BY what)) / (max(v) OVER (PARTITION BY what)
-          - min(v) OVER (PARTITION BY what)) * 100), 99) AS b FROM (
+        SELECT *, min(v) OVER (PARTITION BY what) AS lo,
+          (max(v) OVER (PARTITION BY what) - min(v) OVER (PARTITION BY what)) / 100 AS w FROM (
           SELECT 'scale' AS what, round(scale, 12) AS v FROM itemscale
           UNION ALL SELECT 'vec', round(list_sum(vec) / len(vec), 12) FROM itemvec)) x
-      ON x.what = k.name AND x.b = g.b GROUP BY 1, 2""",
+      ON x.what = k.name AND x.v >= x.lo + g.b * x.w AND (x.v < x.lo + (g.b + 1) * x.w OR g.b = 99)
+      GROUP BY 1, 2""",
     "category_counts": """
       SELECT item_id, category_id, count(*) OVER (PARTITION BY category_id) AS n FROM item""",
     "item_report": f"""

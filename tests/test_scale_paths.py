@@ -150,3 +150,27 @@ def test_split_does_not_shuffle_the_log(spark, tables):
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.array(F.col("id")))
     assert _rows(cut_lineage(df)) == _rows(df)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_hot_order_customer_and_part(spark, tmp_path_factory, monkeypatch, limit):
+    """A third of all rows in one order, one customer and one part."""
+    import duckdb
+    from tests.skewed import NAMES, write_skewed
+    from tests.conftest import SF
+    from vitrine.plans.oracles import ORACLES
+    from vitrine.plans.queries import QUERIES
+
+    folder = str(tmp_path_factory.mktemp("skewed"))
+    write_skewed(SF, folder)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    con = duckdb.connect()
+    for name in NAMES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name in ("scan_slate_log", "validate_log", "item_ctr", "gather_item_vectors", "slate_scores",
+                 "mf_gradient", "profile_linear", "amortized_start", "hitrate"):
+        got = QUERIES[name](spark, folder).toArrow()
+        want = con.sql(ORACLES[name]).to_arrow_table()
+        names = sorted(want.column_names)
+        rows = lambda table: sorted(map(repr, zip(*[table.column(c).to_pylist() for c in names])))
+        assert rows(got) == rows(want), name

@@ -90,8 +90,9 @@ step AS (
   LEFT JOIN interaction i ON i.user_id = u.user_id AND i.t = g.t),
 slot AS (
   SELECT s.row_idx, s.user_id, s.t, CAST(g.p AS INT) AS pos, coalesce(e.item_id, 0) AS item_id
-  FROM step s CROSS JOIN range(25) g(p)
-  LEFT JOIN exposure e ON e.row_idx = s.row_idx AND e.t = s.t AND e.pos = g.p),
+  FROM step s CROSS JOIN range((SELECT greatest(25, max(pos) + 1) FROM exposure)) g(p)
+  LEFT JOIN exposure e ON e.row_idx = s.row_idx AND e.t = s.t AND e.pos = g.p
+  WHERE g.p < greatest(25, s.slate_length)),
 slate AS (
   SELECT row_idx, t, list(item_id ORDER BY pos) AS slate FROM slot GROUP BY row_idx, t),
 widths AS (SELECT max(item_id) + 1 AS n_items FROM exposure),
@@ -209,7 +210,7 @@ def _slate_scores(name, items, states):
 {name} AS (
   SELECT e.row_idx, e.user_id, e.t, e.pos, e.item_id,
     greatest(-100::DOUBLE, least(20::DOUBLE, CASE
-      WHEN e.pos = 0 AND e.item_id = 1 THEN -1::DOUBLE + 0.1::DOUBLE * i.slate_length
+      WHEN e.pos = 0 AND e.item_id = 1 THEN -1::DOUBLE + 0.1::DOUBLE * least(i.slate_length, 25)
       WHEN e.pos = 0 THEN 0::DOUBLE WHEN e.item_id <= 2 THEN -100::DOUBLE
       ELSE 2::DOUBLE * list_dot_product(s.vec, v.vec) END)) AS score
   FROM exposure e JOIN interaction i ON i.row_idx = e.row_idx AND i.t = e.t
@@ -387,15 +388,18 @@ BODIES = {
     # validation, dimensions
     "validate_log": """
       SELECT unnest(['has_slate', 'has_click', 'steps_click', 'steps_click_idx', 'steps_slate_lengths',
-        'steps_interaction_type', 'slate_width', 'slate_width_users', 'step_count_users']) AS "check",
-        CAST(0 AS BIGINT) AS violations
+        'steps_interaction_type', 'step_count_users']) AS "check", CAST(0 AS BIGINT) AS violations
+      UNION ALL SELECT 'slate_width', count(*) FROM (SELECT row_idx FROM step GROUP BY 1
+        HAVING min(greatest(25, slate_length)) <> max(greatest(25, slate_length)))
+      UNION ALL SELECT 'slate_width_users', CAST(count(DISTINCT w) > 1 AS BIGINT) FROM (
+        SELECT max(greatest(25, slate_length)) AS w FROM step GROUP BY row_idx)
       UNION ALL SELECT 'click_in_slate', count(*) FROM interaction i
       WHERE NOT EXISTS (SELECT 1 FROM exposure e WHERE e.row_idx = i.row_idx AND e.t = i.t
         AND e.pos = i.click_idx AND e.item_id = i.click)""",
     "dataset_dims": """
       SELECT CAST((SELECT n_items FROM widths) AS BIGINT) AS num_items, CAST(20 AS BIGINT) AS num_interactions,
-        CAST(25 AS BIGINT) AS maxlen_slate, max(user_id) + 1 AS num_users,
-        CAST(3 AS BIGINT) AS num_interaction_types FROM users""",
+        (SELECT greatest(25, max(slate_length))::BIGINT FROM step) AS maxlen_slate,
+        max(user_id) + 1 AS num_users, CAST(3 AS BIGINT) AS num_interaction_types FROM users""",
     "num_groups": "SELECT count(DISTINCT category_id) AS num_groups FROM item",
     "checksum_columns": f"""
       SELECT "column", {r6('mean')} AS mean FROM (
@@ -437,7 +441,7 @@ BODIES = {
         {text('list(CASE WHEN s.t < 5 THEN s.click_idx ELSE 0 END ORDER BY s.t)')} AS click_idx,
         {text('list(CASE WHEN s.t < 5 THEN s.slate_length ELSE 0 END ORDER BY s.t)')} AS slate_lengths,
         {text('list(CASE WHEN s.t < 5 THEN s.interaction_type ELSE 0 END ORDER BY s.t)')} AS interaction_type,
-        {text("list(CASE WHEN s.t < 5 THEN " + text('l.slate') + " ELSE repeat('0,', 24) || '0' END ORDER BY s.t)", ';')} AS slate
+        {text("list(CASE WHEN s.t < 5 THEN " + text('l.slate') + " ELSE repeat('0,', len(l.slate)::INT - 1) || '0' END ORDER BY s.t)", ';')} AS slate
       FROM step s JOIN slate l ON l.row_idx = s.row_idx AND l.t = s.t GROUP BY 1, 2""",
     "left_pad_history": f"""
       SELECT u.row_idx, {text('list(coalesce(r.click, 0) ORDER BY g.k DESC)')} AS history
@@ -502,7 +506,8 @@ BODIES = {
         THEN s.click ELSE 3 + ''' + H('=slate', '=0', 's.user_id', 's.t', 'g.p')
                                    + ' % (n_items - 3) END ORDER BY g.p)')} AS slate,
         CAST(s.click <> 1 AS INT) AS click_idx
-      FROM step s CROSS JOIN range(25) g(p) CROSS JOIN widths GROUP BY s.user_id, s.t, s.click""",
+      FROM step s JOIN (SELECT row_idx, t, pos AS p FROM slot) g ON g.row_idx = s.row_idx AND g.t = s.t
+      CROSS JOIN widths GROUP BY s.user_id, s.t, s.click""",
     "random_recommender": f"""
       SELECT user_id, {text('list(id ORDER BY j)')} AS recs FROM (
         SELECT user_id, id, min(j) AS j, row_number() OVER (PARTITION BY user_id ORDER BY min(j)) AS k

@@ -30,6 +30,7 @@ def fits_broadcast(table: DataFrame, limit: int = None) -> bool:
 
 
 def _tasks(df) -> int:
+    """Partitions of a shuffle as configured."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -55,7 +56,8 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
     A table measured small is broadcast.  Otherwise both sides shuffle on
     (id, salt): rows of a hot id spread over as many tasks as their share asks
     for, by a hash of the ``spread`` columns, and only the table rows of hot ids
-    are replicated.  Rows without an id spread over all tasks.  ``census`` may
+    are replicated.  Columns of ``spread`` the rows lack are skipped.  Rows without
+    an id spread over all tasks.  ``census`` may
     name a cheaper DataFrame to count ids on than ``rows``.
 
     ``cluster_by`` names a column the result is grouped on next; the result is
@@ -65,8 +67,11 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
     table = table.withColumnRenamed(table_key, key) if table_key != key else table
     if fits_broadcast(table, limit):
         if cluster_by:
-            rows = rows.repartition(cluster_by)
+            # a fixed number: sized by the ids alone, partitions would be merged
+            # into few, and each would grow many times over with the values
+            rows = rows.repartition(_tasks(rows), cluster_by)
         return rows.join(F.broadcast(table), key, how)
+    spread = [c for c in spread if c in rows.columns] or rows.columns
     # at most one row per shuffle partition
     hot = F.broadcast(hot_ids(rows if census is None else census, key))
     salts = F.when(F.col(key).isNull(), F.lit(_tasks(rows) * SALTS_PER_TASK)).otherwise(
@@ -76,4 +81,4 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
     right = table.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     joined = left.join(right, [key, "_salt"], how).drop("_salt")
-    return joined.repartition(cluster_by) if cluster_by else joined
+    return joined.repartition(_tasks(rows), cluster_by) if cluster_by else joined

@@ -27,7 +27,7 @@ def item_category_name(rows, items, vocab, column="click", name="category_name")
 def interaction_type_name(rows, vocab, name="type_name") -> DataFrame:
     """Type id -> text; NULL for ids without an entry."""
     names = _names(vocab, "interaction_type", "interaction_type", name)
-    return rows.join(names, "interaction_type", "left")
+    return gather(rows, names, "interaction_type", "interaction_type", how="left")
 
 
 def inverse_vocab(entries: DataFrame) -> DataFrame:

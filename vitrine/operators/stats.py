@@ -51,7 +51,8 @@ def id_range(spark, num_items: Column) -> DataFrame:
     one = spark.range(1).select(num_items.alias("n"))
     blocks = one.select("n", F.explode(F.sequence(
         F.lit(0), F.floor((F.col("n") - 1) / block))).alias("b"))
-    blocks = blocks.repartition("b")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, "b")  # tiny rows that grow: keep them apart
     ids = blocks.select(F.explode(F.sequence(
         F.col("b") * block, F.least(F.col("n"), (F.col("b") + 1) * block) - 1)).alias("item_id"))
     return ids.select(F.col("item_id").cast("int").alias("item_id"))

@@ -55,10 +55,9 @@ def gather(rows, table, key, table_key="id", spread=("row_idx", "t"), census=Non
 
     A table measured small is broadcast.  Otherwise both sides shuffle on
     (id, salt): rows of a hot id spread over as many tasks as their share asks
-    for, by a hash of the ``spread`` columns, and only the table rows of hot ids
-    are replicated.  Columns of ``spread`` the rows lack are skipped.  Rows without
-    an id spread over all tasks.  ``census`` may
-    name a cheaper DataFrame to count ids on than ``rows``.
+    for, by a hash of the ``spread`` columns they have, and only the table rows of
+    hot ids are replicated.  Rows without an id spread over all tasks.  ``census``
+    may name a cheaper DataFrame to count ids on than ``rows``.
 
     ``cluster_by`` names a column the result is grouped on next; the result is
     then partitioned by it.  With a broadcast table that shuffle happens before

@@ -72,18 +72,21 @@ def step_states(folded: DataFrame, states: str = "states", upto: int = None) ->
     return rows.select("row_idx", "user_id", "t", F.get(states, done).alias("vec"))
 
 
-def steps_with_state(folded: DataFrame, columns, states: str = "states") -> DataFrame:
+def steps_with_state(folded: DataFrame, columns, states=None) -> DataFrame:
     """One row per observed step: the kept log ``columns`` and ``z``, the state before it.
 
-    Log and states meet once per user, not once per step.
+    Log and states meet once per user, not once per step.  ``states`` maps output
+    names to state columns when there are several.
     """
-    keep = [c for c in folded.columns if c not in (*columns, "clicks", "h0", "n_steps", states)]
-    zipped = F.arrays_zip(*columns)
-    rows = folded.select(*keep, "clicks", states, F.posexplode(zipped).alias("t", "s")).where(
-        F.col("s.click") != PAD)
+    states = states or {"z": "states"}
+    used = (*columns, "clicks", "h0", "n_steps", *states.values())
+    keep = [c for c in folded.columns if c not in used]
+    rows = folded.select(*keep, "clicks", *states.values(),
+                         F.posexplode(F.arrays_zip(*columns)).alias("t", "s"))
+    rows = rows.where(F.col("s.click") != PAD)
     done = F.size(F.filter("clicks", lambda c: c["t"] < F.col("t")))
     return rows.select(*keep, "t", *[F.col(f"s.{c}").alias(c) for c in columns],
-                       F.get(states, done).alias("z"))
+                       *[F.get(c, done).alias(name) for name, c in states.items()])
 
 
 def state_at(folded: DataFrame, t: int = -1, states: str = "states") -> DataFrame:

@@ -128,16 +128,27 @@ def linear(t, itemvec=None, log=None, keep=()):
     return profile.fold_linear(started(t, itemvec, None, log, keep), GAMMA)
 
 
-def shown_scores(t, itemvec=None, observed=False):
-    """Slate scores of all steps, or of the observed ones with their phase."""
-    vecs = itemvec if itemvec is not None else t.itemvec
+def shown_scores(t, observed=False, compare=False):
+    """Slate scores of all steps, or of the observed ones with their phase.
+
+    With ``compare`` the estimated vectors are scored in the same pass.
+    """
     cols = ("click", "click_idx", "slate")
     log = split_log(t, *cols) if observed else t.log
-    folded = linear(t, vecs, log, (*cols, *(["split"] if observed else [])))
-    steps = profile.steps_with_state(folded, cols)
+    folded = linear(t, None, log, (*cols, *(["split"] if observed else [])))
+    vecs, models = t.itemvec, scoring.ONE_MODEL
+    if compare:
+        hat = itemvec_hat(t)
+        other = linear(t, hat).select("row_idx", F.col("states").alias("states_hat"))
+        folded = folded.join(other, "row_idx")
+        vecs = vecs.join(hat.withColumnRenamed("vec", "vec_hat"), "id")
+        models = {**models, "score_hat": ("z_hat", "vec_hat")}
+    steps = profile.steps_with_state(
+        folded, cols, {"z": "states", **({"z_hat": "states_hat"} if compare else {})})
     if observed:
         steps = reshape.observed_step_filter(steps).withColumn("phase", split.phase_of_step())
-    return scoring.slate_scores(steps.drop("click", "split"), vecs, BIAS, SOFTMAX_MULT)
+    return scoring.slate_scores(
+        steps.drop("click", "split"), vecs, BIAS, SOFTMAX_MULT, models=models)
 
 
 def top_items(t, users=None, itemvec=None, dist="dot", k=TOP_K):
@@ -709,9 +720,8 @@ def mf_scaled_loss(t):
 
 @query
 def prob_mae(t):
-    probs = scoring.slate_softmax(shown_scores(t, observed=True))
-    probs_hat = scoring.slate_softmax(shown_scores(t, itemvec_hat(t), observed=True))
-    return scoring.prob_mae(probs, probs_hat).withColumn("prob_mae", r6("prob_mae"))
+    scores = shown_scores(t, observed=True, compare=True)
+    return scoring.prob_mae(scores).withColumn("prob_mae", r6("prob_mae"))
 
 
 def _priors(t):

@@ -12,21 +12,18 @@ SALTS_PER_TASK = 4
 def fits_broadcast(table: DataFrame, limit: int = None) -> bool:
     """Measure a table of ids and vectors against the broadcast limit.
 
-    Reads at most as many rows as could fit.
+    Every partition sends one row: its sum of sizes and its number of rows.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     wide = [f.name for f in table.schema.fields if f.dataType.typeName() == "array"]
-    strings = [f.name for f in table.schema.fields if f.dataType.typeName() == "string"]
+    strings = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
     width = F.lit(16 * len(table.columns))
     for c in wide:
         width = width + 8 * F.coalesce(F.size(c), F.lit(0))
     for c in strings:
         width = width + F.coalesce(F.length(c), F.lit(0))
-    most = limit // (16 * len(table.columns)) + 1
-    row = table.select(width.cast("bigint").alias("w")).limit(most).agg(
-        F.sum("w"), F.count("*")
-    ).first()
-    return (row[0] or 0) <= limit and row[1] < most
+    held = table.agg(F.sum(width.cast("bigint"))).first()[0]
+    return (held or 0) <= limit
 
 
 def _tasks(df) -> int:
@@ -43,7 +40,7 @@ def hot_ids(rows: DataFrame, key: str) -> DataFrame:
     tasks = _tasks(rows)
     known = rows.where(F.col(key).isNotNull())
     counts = known.groupBy(key).agg(F.count("*").alias("_n"))
-    everything = known.agg(F.count("*").alias("_all")).scalar()
+    everything = counts.agg(F.sum("_n")).scalar()
     share = F.col("_n") / everything
     return counts.where(share * tasks > 1).select(
         key, F.ceil(share * (tasks * SALTS_PER_TASK)).cast("int").alias("_salts"))

@@ -4,8 +4,12 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vitrine.functions import joins
+
 #: Rows of an Arrow batch sent to Python: bounds what a task holds when texts are long.
 BATCH_ROWS = 500
+#: A table is broadcast only if it was measured to be no larger; beyond, it is shuffled.
+BROADCAST_BYTES = 2 << 20
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -41,6 +45,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def gather(rows, table, key, **options):
+    """Look up ``table`` by ``key``: see ``joins.gather``, with the bound above."""
+    return joins.gather(rows, table, key, key, limit=BROADCAST_BYTES, **options)
+
+
+def small_or_shuffled(table: DataFrame) -> DataFrame:
+    """``table`` marked for broadcast if it was measured to be within the bound."""
+    return F.broadcast(table) if joins.fits_broadcast(table, BROADCAST_BYTES) else table
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mixer (finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * _M1

@@ -2,13 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.functions.joins import gather
+from vitrine.llm.common import gather
 from vitrine.sources.shared import cut_lineage
 
 
 def _look_up(rows, labels, key, name):
     """``rows`` with the label of ``key`` as ``name``; a hub's rows are spread over tasks."""
-    got = gather(rows, labels.select(F.col("v").alias(key), F.col("label").alias("_label")), key, key,
+    got = gather(rows, labels.select(F.col("v").alias(key), F.col("label").alias("_label")), key,
                  spread=tuple(rows.columns), how="left")
     return got.withColumn(name, F.coalesce("_label", F.col(key))).drop("_label")
 

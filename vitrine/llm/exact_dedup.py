@@ -17,8 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.functions.joins import fits_broadcast, gather
-from vitrine.llm.common import ascii_lower, id_and_text, mix, small_batches
+from vitrine.llm.common import ascii_lower, gather, id_and_text, mix, small_batches, small_or_shuffled
 from vitrine.sources.shared import cut_lineage, new_path
 
 SHARD_KEYS = 1 << 17  # digests per filter
@@ -193,9 +192,8 @@ def collided(docs: DataFrame, members: DataFrame, digest_hex: int) -> DataFrame:
     ``members``: distinct (doc_id, digest) of rows in groups.  Only their texts move,
     and equal texts collapse before they do.
     """
-    small = fits_broadcast(members)
-    members = members.withColumnRenamed("doc_id", "member")
-    texts = docs.join(F.broadcast(members) if small else members, F.col("doc_id").eqNullSafe(F.col("member")))
+    members = small_or_shuffled(members.withColumnRenamed("doc_id", "member"))
+    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("member")))
     texts = texts.select("digest", ascii_lower(F.col("text")).alias("norm"))
     texts = texts.where(F.substring(F.sha2("norm", 256), 1, digest_hex) == F.col("digest"))
     return texts.distinct().groupBy("digest").count().where("count > 1").select("digest")
@@ -221,7 +219,7 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", snapshot_shar
     standing = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1000)) < int(snapshot_share * 1000)
     snapshot = publish(rows.where(standing), new_path(spark, "snapshot"), shard_keys)
     groups = cut_lineage(joined_groups(rows.where(~standing), snapshot).where("n > 1"))
-    decided = _decided(gather(rows, groups, "digest", "digest", spread=("row",), how="left"))
+    decided = _decided(gather(rows, groups, "digest", spread=("row",), how="left"))
     members = decided.where("group_size > 1").select("doc_id", "digest").distinct()
     clash = cut_lineage(collided(docs, cut_lineage(members), digest_hex))
     if clash.isEmpty():

@@ -8,9 +8,10 @@ again.  Independent trees are repeated until a pair at the threshold is met with
 target recall.  Compared pairs that their sketches don't rule out are confirmed on the
 full sets.
 
-Comparing is sparse where groups are large.  A first round links classes to their best
-partner only, in large nodes among sampled leaders.  Later rounds compare what is not
-yet connected: the last one all of it, without a cap.
+Comparing is sparse where groups are large.  The first round joins a class to its best
+partner only, in large nodes to the best of sampled leaders.  The second round compares
+the classes of a node that have further partners and are not yet connected, on their
+full sets and without a cap: it emits confirmed links, never all pairs of a group.
 """
 
 import math
@@ -20,18 +21,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.functions.joins import fits_broadcast, gather
-from vitrine.llm.common import WordHashes, id_and_text, mix, shingle_hashes, small_batches
+from vitrine.llm.common import (
+    WordHashes, gather, id_and_text, mix, shingle_hashes, small_batches, small_or_shuffled,
+)
 from vitrine.llm.components import components
 from vitrine.sources.shared import cut_lineage
 
 WORDS, PERCENT = 5, 80
 TARGET_RECALL = 0.999999
-POSITIONS = 128    # minhash positions of a signature
-SMALL_NODE = 32    # classes compared exhaustively at once
-MAX_DEPTH = 4      # branchings before a still large node is compared in blocks
+POSITIONS = 64   # minhash positions of a signature
+SMALL_NODE = 32  # classes compared exhaustively at once
+MIN_DEPTH = 2    # branchings before nodes are looked at
+MAX_DEPTH = 3    # branchings before a still large node is compared in blocks
 LEADERS, BLOCK = 64, 1024
-ROUNDS = (1, 4, None)  # partners tried per class in each round; None: all of them
+CELLS = 1 << 22  # counters held at once when full sets are compared
 
 _rng = np.random.default_rng(20260728)
 _MUL = _rng.integers(1, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,13 +101,21 @@ def _matrix(column, dtype, width):
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
+def _rows(node, cid):
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid)], names=["node", "cid"])
+
+
 def _roots(trees, similarity):
+    """The nodes at MIN_DEPTH of every tree."""
     def run(batches):
         for b in batches:
             cid, sig = b["cid"].to_numpy(zero_copy_only=False), _matrix(b["sig"], "<u4", POSITIONS)
             for tree in range(1, trees + 1):
-                rows, child = _children(np.full(len(cid), tree, np.uint64), sig, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cid[rows])], names=["node", "cid"])
+                rows, node = np.arange(len(cid)), np.full(len(cid), tree, np.uint64)
+                for _ in range(MIN_DEPTH):
+                    some, node = _children(node, sig[rows], similarity)
+                    rows = rows[some]
+                yield _rows(node, cid[rows])
     return run
 
 
@@ -113,17 +124,19 @@ def _branch(similarity):
         for b in batches:
             cid, sig = b["cid"].to_numpy(zero_copy_only=False), _matrix(b["sig"], "<u4", POSITIONS)
             rows, child = _children(b["node"].to_numpy(zero_copy_only=False).view(np.uint64), sig, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cid[rows])], names=["node", "cid"])
+            yield _rows(child, cid[rows])
     return run
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two classes or more, with the size n; of nodes with the same
     classes only one stays."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_lineage(rows.join(sizes, "node"))
     h = F.xxhash64("cid")
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.min(h).alias("lo"), F.max(h).alias("hi"))
-    nodes = nodes.where("n > 1").groupBy("n", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node", "n")
-    return rows.join(nodes, "node")
+    nodes = shared.groupBy("node", "n").agg(F.bit_xor(h).alias("x"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+    nodes = nodes.groupBy("n", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node")
+    return shared.join(nodes, "node", "left_semi")
 
 
 def tree_nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -131,91 +144,149 @@ def tree_nodes(classes: DataFrame, similarity: float, recall: float) -> DataFram
     trees = trees_for(recall, similarity, MAX_DEPTH)
     rows = classes.select("cid", "sig").mapInArrow(_roots(trees, similarity), "node bigint, cid bigint")
     done = None
-    for depth in range(1, MAX_DEPTH + 1):
+    for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
         sized = cut_lineage(_sized(cut_lineage(rows)))
         ends = sized if depth == MAX_DEPTH else sized.where(F.col("n") <= SMALL_NODE)
         done = ends if done is None else done.unionByName(ends)
         large = sized.where(F.col("n") > SMALL_NODE)
-        if depth == MAX_DEPTH or large.isEmpty():
-            break
         rows = large.select("node", "cid").join(classes.select("cid", "sig"), "cid").mapInArrow(
             _branch(similarity), "node bigint, cid bigint")
-    return cut_lineage(_sized(done.select("node", "cid")))
+    return done
 
 
 def _units(members: DataFrame) -> DataFrame:
     """Deal each node's rows to units (node, unit): every row meets every ``right`` row
     of its node in exactly one unit.  Rows stand on the left (1), right (2) or both (3)."""
-    small = members.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).cast("bigint").alias("unit"), "cid", "comp", F.lit(3).alias("side"))
+    small = members.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).cast("bigint").alias("unit"), "cid", "comp", "n", F.lit(3).alias("side"))
     large = members.where(F.col("n") > SMALL_NODE)
     blocks = F.ceil(F.col("n") / BLOCK)
     rights = F.ceil(F.greatest("m", F.lit(1)) / LEADERS)
     block, group = F.pmod(F.xxhash64("cid"), blocks), F.pmod(F.xxhash64("cid", F.lit(1)), rights)
-    left = large.select("node", "cid", "comp", blocks.alias("blocks"), block.alias("block"),
+    left = large.select("node", "cid", "comp", "n", blocks.alias("blocks"), block.alias("block"),
                         F.explode(F.sequence(F.lit(0).cast("bigint"), rights - 1)).alias("group"))
-    right = large.where("right").select("node", "cid", "comp", blocks.alias("blocks"), group.alias("group"),
+    right = large.where("right").select("node", "cid", "comp", "n", blocks.alias("blocks"), group.alias("group"),
                                         F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
     unit = (F.col("group") * F.col("blocks") + F.col("block")).alias("unit")
-    return small.unionByName(left.select("node", unit, "cid", "comp", F.lit(1).alias("side"))).unionByName(
-        right.select("node", unit, "cid", "comp", F.lit(2).alias("side")))
+    return small.unionByName(left.select("node", unit, "cid", "comp", "n", F.lit(1).alias("side"))).unionByName(
+        right.select("node", unit, "cid", "comp", "n", F.lit(2).alias("side")))
 
 
-def _compare(least, top):
-    """Pairs (a, b) of each unit whose sketches agree at ``least`` positions or more and
-    whose components differ; the ``top`` best per left row."""
-    def pairs(cid, comp, side, sketch):
-        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        for i in range(0, len(left), 256):
-            own = left[i:i + 256]
-            same = (sketch[own][:, None, :] == sketch[right][None]).sum(2, dtype=np.int16)
-            same[(comp[own][:, None] == comp[right][None]) | (cid[own][:, None] == cid[right][None])] = -1
-            if top and top < len(right):
-                cut = np.partition(same, len(right) - top, 1)[:, len(right) - top]
-                chosen = (same >= np.maximum(cut, least)[:, None])
-                chosen &= np.cumsum(chosen, 1) <= top
-            else:
-                chosen = same >= least
-            x, y = np.nonzero(chosen)
-            yield cid[own[x]], cid[right[y]]
+def _by_unit(names, own, work, out):
+    """Arrow batches sorted by (node, unit) to ``work`` on one unit after the other.
 
+    ``own`` makes the last column; ``work`` gets the columns of one unit and gives
+    arrays, which become the columns ``out``.
+    """
     def run(batches):
-        held = None
-        names = ("node", "unit", "cid", "comp", "side")
-
-        def ready(cols, sketch, upto):
-            if not upto:
-                return
-            edge = np.flatnonzero((np.diff(cols[0][:upto]) != 0) | (np.diff(cols[1][:upto]) != 0)) + 1
-            found = []
-            for lo, hi in zip(np.r_[0, edge], np.r_[edge, upto]):
-                found.extend(pairs(cols[2][lo:hi], cols[3][lo:hi], cols[4][lo:hi], sketch[lo:hi]))
-            x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+        held, done = None, []
+
+        def flush():
+            arrays = [np.concatenate(x) for x in zip(*done)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=out)
 
         for b in batches:
-            cols = [b[n].to_numpy(zero_copy_only=False) for n in names]
-            sketch = _matrix(b["sketch"], np.uint8, POSITIONS)
-            if held:
-                cols = [np.concatenate(z) for z in zip(held[0], cols)]
-                sketch = np.concatenate([held[1], sketch])
-            if not len(sketch):
-                continue
-            last = len(sketch) - int(np.argmax(((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[::-1]))
-            if cols[0][0] == cols[0][-1] and cols[1][0] == cols[1][-1]:
-                last = 0
-            yield from ready(cols, sketch, last)
-            held = [c[last:] for c in cols], sketch[last:]
-        if held:
-            yield from ready(*held, len(held[1]))
+            cols = [b[n].to_numpy(zero_copy_only=False) for n in names] + [own(b[b.num_columns - 1])]
+            if held is not None:
+                cols = [np.concatenate(z) for z in zip(held, cols)]
+            edges = [0, *(np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1)]
+            for lo, hi in zip(edges, edges[1:]):
+                done.extend(work(*[c[lo:hi] for c in cols]))
+            held = [c[edges[-1]:] for c in cols]
+            if done:
+                yield flush()
+        if held is not None:
+            done.extend(work(*held))
+        if done:
+            yield flush()
     return run
 
 
-def _candidates(members, classes, least, top):
-    units = _units(members)
-    rows = gather(units, classes.select("cid", "sketch"), "cid", "cid", spread=("node", "unit"))
+def _best(least):
+    """The best partner (a, b) of each left row by sketch, if ``least`` positions agree;
+    ``more`` says that the row has further partners in its unit."""
+    def work(node, unit, cid, comp, side, n, sketch):
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        for i in range(0, len(left) if len(right) else 0, 256):
+            own = left[i:i + 256]
+            same = (sketch[own][:, None, :] == sketch[right][None]).sum(2, dtype=np.int16)
+            same[cid[own][:, None] == cid[right][None]] = -1
+            best, some = same.argmax(1), same.max(1) >= least
+            more = ((same >= least).sum(1) > 1) | (n[own] > SMALL_NODE)
+            keep = some | more
+            x, y = cid[own], np.where(some, cid[right[best]], cid[own])
+            yield node[own][keep], x[keep], y[keep], more[keep]
+    return work
+
+
+def _units_of(members, attached, column):
+    rows = gather(_units(members), attached, "cid", spread=("node", "unit"))
     rows = rows.repartition("node", "unit").sortWithinPartitions("node", "unit", "cid")
-    return rows.select("node", "unit", "cid", "comp", "side", "sketch").mapInArrow(_compare(least, top), "a bigint, b bigint").distinct()
+    return rows.select("node", "unit", "cid", "comp", "side", "n", column)
+
+
+def _first_partners(nodes, classes, least):
+    """(node, a, b, more): see ``_best``.  Large nodes have sampled leaders on the right."""
+    share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
+    members = nodes.select("node", "cid", "n", F.col("cid").alias("comp"), F.lit(LEADERS).cast("bigint").alias("m"),
+                           (share < LEADERS / F.col("n")).alias("right"))
+    sketches = classes.select("cid", "sig").mapInArrow(_sketches, "cid bigint, sketch binary")
+    work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), lambda c: _matrix(c, np.uint8, POSITIONS),
+                    _best(least), ["node", "a", "b", "more"])
+    return _units_of(members, sketches, "sketch").mapInArrow(work, "node bigint, a bigint, b bigint, more boolean")
+
+
+def _exact(percent):
+    """Links (a, b) between components of a unit: shared shingles are counted for every
+    pair of a left and a right row; of the links that join the same two components one
+    is emitted."""
+    def work(node, unit, cid, comp, side, n, sets):
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        if not len(right) or (comp == comp[0]).all():
+            return
+        sizes = np.array([len(s) for s in sets])
+        known = np.unique(np.concatenate(list(sets[right])))
+        for j in range(0, len(right), LEADERS):
+            some = right[j:j + LEADERS]
+            has = np.zeros((len(known) + 1, len(some)), np.int32)
+            for k, r in enumerate(some):
+                has[np.searchsorted(known, sets[r]), k] = 1
+            step = max(1, CELLS // max(1, len(some) * int(sizes[left].max())))
+            for i in range(0, len(left), step):
+                own = left[i:i + step]
+                flat = np.concatenate(list(sets[own]))
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                at[known[at] != flat] = len(known)  # no right row has it
+                shared = np.add.reduceat(has[at], np.r_[0, np.cumsum(sizes[own])[:-1]])
+                union = sizes[own][:, None] + sizes[some][None] - shared
+                linked = (100 * shared >= percent * union) & (comp[own][:, None] != comp[some][None])
+                x, y = np.nonzero(linked)
+                a, b = own[x], some[y]
+                ab = np.sort(np.stack([comp[a], comp[b]], 1), 1)
+                _, first = np.unique(ab, axis=0, return_index=True)
+                yield cid[a[first]], cid[b[first]]
+    return work
+
+
+def _remaining(active, labels, sets, percent):
+    """Links that the first round left out: of nodes whose active members are not yet
+    one component, the main one excepted on the right."""
+    members = gather(active, labels.select(F.col("v").alias("cid"), F.col("label").alias("comp")), "cid",
+                     spread=("node",), how="left")
+    members = cut_lineage(members.withColumn("comp", F.coalesce("comp", "cid")))
+    parts = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("node", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("m"))
+    members = members.join(main, "node").withColumn("right", F.col("comp") != F.col("main"))
+    own = lambda c: _object_array([np.asarray(x.values) for x in c])
+    work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), own, _exact(percent), ["a", "b"])
+    return _units_of(members, sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def _object_array(items):
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
 
 
 def _full_sets(words):
@@ -235,29 +306,20 @@ def _full_sets(words):
     return run
 
 
+def _sets_of(wanted, docs, words):
+    """(cid, shingles) of the classes (cid, set_key, rep); null ids meet null ids."""
+    found = docs.join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("rep")))
+    return cut_lineage(found.select("cid", "set_key", "text").mapInArrow(_full_sets(words), "cid bigint, shingles array<bigint>"))
+
+
 def _confirmed(pairs, sets, percent):
     """Pairs whose full sets are similar enough."""
-    one = gather(pairs, sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s")), "a", "a", spread=("b",))
-    two = gather(one, sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t")), "b", "b", spread=("a",), census=pairs)
+    one = gather(pairs, sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s")), "a", spread=("b",))
+    two = gather(one, sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t")), "b", spread=("a",), census=pairs)
     shared = F.size(F.array_intersect("s", "t"))
     return two.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
-def _with_right(nodes, labels, first):
-    """Members with their components and which of them stand on the right of large nodes."""
-    if first:
-        share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
-        return nodes.withColumn("comp", F.col("cid")).withColumn("m", F.lit(LEADERS).cast("bigint")).withColumn(
-            "right", share < LEADERS / F.col("n"))
-    members = gather(nodes, labels.select(F.col("v").alias("cid"), F.col("label").alias("comp")), "cid", "cid",
-                     spread=("node",), how="left")
-    members = cut_lineage(members.withColumn("comp", F.coalesce("comp", "cid")))
-    parts = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").select("node", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.c")).alias("m"))
-    return members.join(main, "node").withColumn("right", F.col("comp") != F.col("main")).drop("main")
-
-
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
     """(v, label): components of the classes that have links."""
     similarity = percent / 100
@@ -265,29 +327,17 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall:
     # 4.5 standard deviations below the agreement expected at the threshold
     agree = similarity + (1 - similarity) / 256
     least = int(POSITIONS * agree - 4.5 * math.sqrt(POSITIONS * agree * (1 - agree)))
-    found = tried = sets = labels = None
-    for top in ROUNDS:
-        members = _with_right(nodes, labels, first=found is None)
-        pairs = _candidates(members, classes, least, top)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if found is not None and pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # sets of classes not met in an earlier round; null ids meet null ids
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cid"), "cid", "left_anti")
-        wanted = cut_lineage(classes.select("cid", "set_key", "rep").join(wanted, "cid", "left_semi"))
-        small = fits_broadcast(wanted)
-        new = docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-        new = cut_lineage(new.select("cid", "set_key", "text").mapInArrow(_full_sets(words), "cid bigint, shingles array<bigint>"))
-        sets = new if sets is None else sets.unionByName(new)
-        linked = cut_lineage(_confirmed(pairs, sets, percent))
-        found = linked if found is None else found.unionByName(linked)
-        labels = components(found)
-    return labels
+    tried = cut_lineage(_first_partners(nodes, classes, least))
+    pairs = cut_lineage(tried.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # a pair not tried has two members with further partners
+    active = cut_lineage(tried.where("more").select("node", F.col("a").alias("cid")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(active.select("cid")).distinct()
+    wanted = cut_lineage(classes.select("cid", "set_key", "rep").join(wanted, "cid", "left_semi"))
+    sets = _sets_of(wanted, docs, words)
+    first = cut_lineage(_confirmed(pairs, sets, percent))
+    labels = components(first)
+    second = cut_lineage(_remaining(active, labels, sets, percent))
+    return labels if second.isEmpty() else components(first.unionByName(second))
 
 
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT,
@@ -310,14 +360,12 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words=WORDS, p
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("row").alias("cid"), F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = cut_lineage(classes)
-    low = classes.select("*").mapInArrow(_sketches, "set_key binary, cid bigint, rep bigint, sig binary, sketch binary")
-    classes = cut_lineage(low)
     labels = links(docs, classes, words, percent, recall)
     known = classes.select("set_key", "cid", "rep").join(labels.withColumnRenamed("v", "cid"), "cid", "left")
     known = cut_lineage(known.withColumn("label", F.coalesce("label", "cid")))
     ids = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    final = cut_lineage(gather(known.select("set_key", "label"), ids, "label", "label", spread=("set_key",)).drop("label"))
-    out = gather(signed.select("doc_id", "n_shingles", "set_key", "row"), final, "set_key", "set_key", spread=("row",), how="left")
+    final = cut_lineage(gather(known.select("set_key", "label"), ids, "label", spread=("set_key",)).drop("label"))
+    out = gather(signed.select("doc_id", "n_shingles", "set_key", "row"), final, "set_key", spread=("row",), how="left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -325,5 +373,5 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words=WORDS, p
 def _sketches(batches):
     for b in batches:
         low = _matrix(b["sig"], "<u4", POSITIONS).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in low], pa.binary())],
-                                         names=[*b.schema.names, "sketch"])
+        yield pa.RecordBatch.from_arrays([b["cid"], pa.array([r.tobytes() for r in low], pa.binary())],
+                                         names=["cid", "sketch"])

@@ -2,17 +2,53 @@
 
 from pyspark.sql import functions as F
 
-from vitrine.llm import bfd_packing, exact_dedup, near_dedup, online_packing
+from vitrine.llm import (
+    bfd_packing, chat, decontaminate, exact_dedup, langid, near_dedup, online_packing, pii, quality, secrets,
+)
 from vitrine.llm.common import table
 from vitrine.sources.shared import new_path
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_pii(spark, sf_dir):
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_token_matrices(spark, sf_dir):
     """Segments of the written matrices, with the checksum of their stored ids."""
     blocks = bfd_packing.write_matrices(table(spark, sf_dir, "documents"), new_path(spark, "matrices"))
     return bfd_packing.segments(blocks).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.train(docs.where(~out).select("lang", "text"))
+    return langid.predict(docs, model).withColumn("held_out", out)
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("response"))
+    return chat.digest(chat.format_chats(chat.canonical(rows).unionByName(chat.canonical(more))))
+
+
+def op7_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    known = labels.where(~out).select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs, known)
+    return quality.score(docs, model).withColumn("held_out", out)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,8 +61,25 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_matrices, op8_exact_dedup, op9_online_packing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_pii, op3_token_matrices, op4_language_id, op5_secrets, op6_chat_format,
+    op7_quality, op8_exact_dedup, op9_online_packing, op10_minhash_near_dedup,
+)}
 ORACLES = {
+    "op6_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (
+            SELECT *, length(role) + length(text) + 9 + length(regexp_replace(role || text, '[^\\<\[\]]', '', 'g')) AS n
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op8_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -41,15 +41,17 @@ def weighted_shingles(words: Column, k: int) -> Column:
 
 def simhash(weighted: Column) -> Column:
     """64-bit fingerprint: the sign of every bit's weighted sum."""
-    def bit(b):
-        votes = F.aggregate(weighted, F.lit(0), lambda a, s: a + F.when(
-            F.shiftright(s["h"], b).bitwiseAND(F.lit(1).cast("bigint")) == 1, s["w"]).otherwise(-s["w"]))
-        return F.when(votes > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-
-    out = bit(0)
-    for b in range(1, BITS):
-        out = out.bitwiseOR(bit(b))
-    return out
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def vote(s, b):
+        is_set = F.call_function("shiftright", s["h"], b).bitwiseAND(one) == 1
+        return F.when(is_set, s["w"]).otherwise(-s["w"])
+
+    def set_bit(acc, b):
+        total = F.aggregate(weighted, F.lit(0), lambda votes, s: votes + vote(s, b))
+        return acc.bitwiseOR(F.when(total > 0, F.call_function("shiftleft", one, b)).otherwise(none))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), none, set_bit)
 
 
 def similarity(a: Column, b: Column) -> Column:

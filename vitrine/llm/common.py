@@ -10,6 +10,8 @@ from vitrine.functions import joins
 BATCH_ROWS = 500
 #: A table is broadcast only if it was measured to be no larger; beyond, it is shuffled.
 BROADCAST_BYTES = 2 << 20
+#: The same where the other side holds whole texts, which are dear to shuffle.
+TEXT_BROADCAST_BYTES = 16 << 20
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -50,9 +52,9 @@ def gather(rows, table, key, **options):
     return joins.gather(rows, table, key, key, limit=BROADCAST_BYTES, **options)
 
 
-def small_or_shuffled(table: DataFrame) -> DataFrame:
-    """``table`` marked for broadcast if it was measured to be within the bound."""
-    return F.broadcast(table) if joins.fits_broadcast(table, BROADCAST_BYTES) else table
+def small_or_shuffled(table: DataFrame, limit=TEXT_BROADCAST_BYTES) -> DataFrame:
+    """``table``, to be joined with texts, marked for broadcast if it was measured to be within the bound."""
+    return F.broadcast(table) if joins.fits_broadcast(table, limit) else table
 
 
 def mix(h: np.ndarray) -> np.ndarray:

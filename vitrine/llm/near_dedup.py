@@ -8,10 +8,11 @@ again.  Independent trees are repeated until a pair at the threshold is met with
 target recall.  Compared pairs that their sketches don't rule out are confirmed on the
 full sets.
 
-Comparing is sparse where groups are large.  The first round joins a class to its best
-partner only, in large nodes to the best of sampled leaders.  The second round compares
-the classes of a node that have further partners and are not yet connected, on their
-full sets and without a cap: it emits confirmed links, never all pairs of a group.
+Comparing is sparse where groups are large.  The first round confirms a class's best
+partner only, in large nodes the best of sampled leaders.  The second round confirms the
+other partners met in small nodes, and compares on full sets the classes of large nodes,
+as far as they are not yet connected.  It has no cap, and emits links from large nodes,
+never all pairs of a group.
 """
 
 import math
@@ -33,7 +34,7 @@ POSITIONS = 64   # minhash positions of a signature
 SMALL_NODE = 32  # classes compared exhaustively at once
 MIN_DEPTH = 2    # branchings before nodes are looked at
 MAX_DEPTH = 3    # branchings before a still large node is compared in blocks
-LEADERS, BLOCK = 64, 1024
+LEADERS, BLOCK = 64, 512  # leaders of a large node; rows on a side of a unit
 CELLS = 1 << 22  # counters held at once when full sets are compared
 
 _rng = np.random.default_rng(20260728)
@@ -160,7 +161,7 @@ def _units(members: DataFrame) -> DataFrame:
     small = members.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).cast("bigint").alias("unit"), "cid", "comp", "n", F.lit(3).alias("side"))
     large = members.where(F.col("n") > SMALL_NODE)
     blocks = F.ceil(F.col("n") / BLOCK)
-    rights = F.ceil(F.greatest("m", F.lit(1)) / LEADERS)
+    rights = F.ceil(F.greatest("m", F.lit(1)) / BLOCK)
     block, group = F.pmod(F.xxhash64("cid"), blocks), F.pmod(F.xxhash64("cid", F.lit(1)), rights)
     left = large.select("node", "cid", "comp", "n", blocks.alias("blocks"), block.alias("block"),
                         F.explode(F.sequence(F.lit(0).cast("bigint"), rights - 1)).alias("group"))
@@ -203,19 +204,20 @@ def _by_unit(names, own, work, out):
 
 
 def _best(least):
-    """The best partner (a, b) of each left row by sketch, if ``least`` positions agree;
-    ``more`` says that the row has further partners in its unit."""
+    """Partners (a, b) by sketch, ``least`` positions or more agreeing: all pairs of a small
+    node, ``best`` where b is the best of a or the other way round; of a large node each
+    left row and its best partner on the right."""
     def work(node, unit, cid, comp, side, n, sketch):
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         for i in range(0, len(left) if len(right) else 0, 256):
             own = left[i:i + 256]
             same = (sketch[own][:, None, :] == sketch[right][None]).sum(2, dtype=np.int16)
             same[cid[own][:, None] == cid[right][None]] = -1
-            best, some = same.argmax(1), same.max(1) >= least
-            more = ((same >= least).sum(1) > 1) | (n[own] > SMALL_NODE)
-            keep = some | more
-            x, y = cid[own], np.where(some, cid[right[best]], cid[own])
-            yield node[own][keep], x[keep], y[keep], more[keep]
+            best = np.zeros(same.shape, bool)
+            best[np.arange(len(own)), same.argmax(1)] = True
+            x, y = np.nonzero((same >= least) & (best | (n[0] <= SMALL_NODE)))
+            a, b = cid[own[x]], cid[right[y]]
+            yield np.minimum(a, b), np.maximum(a, b), best[x, y]
     return work
 
 
@@ -226,14 +228,15 @@ def _units_of(members, attached, column):
 
 
 def _first_partners(nodes, classes, least):
-    """(node, a, b, more): see ``_best``.  Large nodes have sampled leaders on the right."""
+    """Distinct (a, b, best): see ``_best``.  Large nodes have sampled leaders on the right."""
     share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
     members = nodes.select("node", "cid", "n", F.col("cid").alias("comp"), F.lit(LEADERS).cast("bigint").alias("m"),
                            (share < LEADERS / F.col("n")).alias("right"))
     sketches = classes.select("cid", "sig").mapInArrow(_sketches, "cid bigint, sketch binary")
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), lambda c: _matrix(c, np.uint8, POSITIONS),
-                    _best(least), ["node", "a", "b", "more"])
-    return _units_of(members, sketches, "sketch").mapInArrow(work, "node bigint, a bigint, b bigint, more boolean")
+                    _best(least), ["a", "b", "best"])
+    pairs = _units_of(members, sketches, "sketch").mapInArrow(work, "a bigint, b bigint, best boolean")
+    return pairs.groupBy("a", "b").agg(F.max("best").alias("best"))
 
 
 def _exact(percent):
@@ -268,12 +271,15 @@ def _exact(percent):
     return work
 
 
-def _remaining(active, labels, sets, percent):
-    """Links that the first round left out: of nodes whose active members are not yet
-    one component, the main one excepted on the right."""
-    members = gather(active, labels.select(F.col("v").alias("cid"), F.col("label").alias("comp")), "cid",
-                     spread=("node",), how="left")
-    members = cut_lineage(members.withColumn("comp", F.coalesce("comp", "cid")))
+def _labelled(rows, labels, key, name, spread):
+    """The component of ``key``, or itself, as ``name``."""
+    got = gather(rows, labels.select(F.col("v").alias(key), F.col("label").alias("_label")), key, spread=spread, how="left")
+    return got.withColumn(name, F.coalesce("_label", F.col(key))).drop("_label")
+
+
+def _in_large_nodes(members, labels, sets, percent):
+    """Links between the components of large nodes; all but the main one stand on the right."""
+    members = cut_lineage(_labelled(members.select("node", "cid"), labels, "cid", "comp", ("node",)))
     parts = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("node", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("m"))
@@ -327,16 +333,17 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall:
     # 4.5 standard deviations below the agreement expected at the threshold
     agree = similarity + (1 - similarity) / 256
     least = int(POSITIONS * agree - 4.5 * math.sqrt(POSITIONS * agree * (1 - agree)))
-    tried = cut_lineage(_first_partners(nodes, classes, least))
-    pairs = cut_lineage(tried.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # a pair not tried has two members with further partners
-    active = cut_lineage(tried.where("more").select("node", F.col("a").alias("cid")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(active.select("cid")).distinct()
+    partners = cut_lineage(_first_partners(nodes, classes, least))
+    large = nodes.where(F.col("n") > SMALL_NODE)
+    wanted = partners.select(F.explode(F.array("a", "b")).alias("cid")).union(large.select("cid")).distinct()
     wanted = cut_lineage(classes.select("cid", "set_key", "rep").join(wanted, "cid", "left_semi"))
     sets = _sets_of(wanted, docs, words)
-    first = cut_lineage(_confirmed(pairs, sets, percent))
+    first = cut_lineage(_confirmed(partners.where("best").select("a", "b"), sets, percent))
     labels = components(first)
-    second = cut_lineage(_remaining(active, labels, sets, percent))
+    others = partners.where("not best").select("a", "b")
+    others = _labelled(_labelled(others, labels, "a", "x", ("b",)), labels, "b", "y", ("a",))
+    others = cut_lineage(others.where("x <> y").select("a", "b"))
+    second = cut_lineage(_confirmed(others, sets, percent).unionByName(_in_large_nodes(large, labels, sets, percent)))
     return labels if second.isEmpty() else components(first.unionByName(second))
 
 

@@ -53,7 +53,8 @@ def hot_range(value: Column, alphabet: str, least: float, window=WINDOW) -> Colu
     n = F.length(value)
     at = F.transform(F.sequence(F.lit(1), n), lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1))) - 1)
     # the leaving character at each step, -1 while the window fills
-    steps = F.arrays_zip(at.alias("into"), F.concat(F.array_repeat(F.lit(-1), window), F.slice(at, F.lit(1), n - window)).alias("out"))
+    left = F.concat(F.array_repeat(F.lit(-1), window), F.slice(at, F.lit(1), F.greatest(n - window, F.lit(0))))
+    steps = F.arrays_zip(at.alias("into"), F.slice(left, F.lit(1), n).alias("out"))
     begin = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"),
                      F.lit(0).alias("i"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
 

@@ -200,7 +200,7 @@ def amortized_start(log, itemvec, dim, decay, scale_factor, masked=True, reserve
     seen = gather_item_vectors(steps, itemvec, "click", cluster_by="row_idx")
     per_user = seen.groupBy("row_idx").agg(
         F.max("n").alias("n"),
-        F.collect_list(F.struct("w", "v", "vec")).alias("c"),
+        F.array_sort(F.collect_list(F.struct("w", "v", "vec"))).alias("c"),  # sums in a fixed order
     )
     zero = zeros(dim)
     fold = lambda f: F.aggregate("c", zero, f)

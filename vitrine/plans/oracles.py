@@ -211,7 +211,7 @@ def _slate_scores(name, items, states):
   SELECT e.row_idx, e.user_id, e.t, e.pos, e.item_id,
     greatest(-100::DOUBLE, least(20::DOUBLE, CASE
       WHEN e.pos = 0 AND e.item_id = 1 THEN -1::DOUBLE + 0.1::DOUBLE * least(i.slate_length, 25)
-      WHEN e.pos = 0 THEN 0::DOUBLE WHEN e.item_id <= 2 THEN -100::DOUBLE
+      WHEN e.pos = 0 THEN 0::DOUBLE WHEN e.item_id <= 2 OR v.id IS NULL THEN -100::DOUBLE
       ELSE 2::DOUBLE * list_dot_product(s.vec, v.vec) END)) AS score
   FROM exposure e JOIN interaction i ON i.row_idx = e.row_idx AND i.t = e.t
   JOIN {states} s ON s.row_idx = e.row_idx AND s.t = e.t LEFT JOIN {items} v ON v.id = e.item_id),
@@ -710,7 +710,7 @@ BODIES = {
           QUALIFY row_number() OVER (PARTITION BY q.row_idx
             ORDER BY list_dot_product(q.vec, v.vec) DESC, v.id) <= 20) q
         JOIN interaction i ON i.row_idx = q.row_idx AND i.click = q.id AND i.t > 5 GROUP BY 1) h
-      ON h.row_idx = s.row_idx WHERE s.row_idx < 100000 GROUP BY 1""",
+      ON h.row_idx = s.row_idx GROUP BY 1""",
     "reward_by_step": f"""
       SELECT phase, t, {r6('reward')} AS reward FROM reward
       UNION ALL SELECT phase, CAST(-1 AS INT), {r6('avg(reward)')} FROM reward GROUP BY phase""",

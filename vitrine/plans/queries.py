@@ -13,7 +13,7 @@ from vitrine.functions.vectors import mean_vectors, total
 from vitrine.operators import (
     attach, metrics, profile, recommend, reshape, sampling, scoring, split, stats, train, validate,
 )
-from vitrine.schema import FIRST_REAL, MAX_SLATE, MAX_STEPS, MASK_CODE, PHASES, T_SPLIT
+from vitrine.schema import FIRST_REAL, MAX_SLATE, MASK_CODE, PHASES, T_SPLIT
 from vitrine.sources import log as logs
 from vitrine.sources.orders import slate_tables, write_tables
 from vitrine.sources.shared import new_path
@@ -654,7 +654,7 @@ def state_std(t):
 
 @query
 def user_hits(t):
-    clicks = t.log.select("row_idx", F.array_remove(F.slice("click", T_SPLIT + 1, MAX_STEPS), 0).alias("clicks"))
+    clicks = t.log.select("row_idx", F.array_remove(F.slice("click", F.lit(T_SPLIT + 1), F.size("click")), 0).alias("clicks"))
     hits = stats.user_hits(recommend.rec_lists(top_items(t)), clicks)
     return with_user(hits, t).select("user_id", "hits")
 

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every query of the library against its SQL, on the smallest tables."""
 
 import glob
 import os
@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.conftest import SF
+from vitrine.plans.oracles import ORACLES
+from vitrine.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def con():
@@ -23,7 +25,7 @@ def _sorted_rows(table):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -31,10 +33,10 @@ def test_entry(spark):
     assert len(rows) == 1 and rows[0]["users"] > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
-    got = queries()[name](spark, SF).toArrow()
-    want = con.sql(oracle_sql()[name]).to_arrow_table()
+    got = QUERIES[name](spark, SF).toArrow()
+    want = con.sql(ORACLES[name]).to_arrow_table()
     assert _sorted_rows(got) == _sorted_rows(want)
     for c in got.column_names:
         a, b = str(got.schema.field(c).type), str(want.schema.field(c).type)

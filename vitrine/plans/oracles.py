@@ -44,7 +44,6 @@ def pdf(x, mean, sd):
 
 
 BASE = f"""
-dims AS (SELECT least((SELECT count(*) FROM part), (SELECT count(*) FROM embeddings)) AS m),
 visits AS (
   SELECT o_orderkey, o_custkey, o_orderpriority,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS t
@@ -52,8 +51,8 @@ visits AS (
 shown AS (
   SELECT l_orderkey,
          CASE WHEN {H('=unk', 'l_orderkey', 'l_partkey')} % 50 = 0 THEN 2
-              ELSE 3 + l_partkey % m END AS item_id, min(l_linenumber) AS ln
-  FROM lineitem, dims GROUP BY 1, 2),
+              ELSE 3 + l_partkey END AS item_id, min(l_linenumber) AS ln
+  FROM lineitem GROUP BY 1, 2),
 placed AS (
   SELECT l_orderkey, item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, item_id) AS pos,
          count(*) OVER (PARTITION BY l_orderkey) AS n FROM shown),
@@ -72,21 +71,23 @@ interaction AS (
          CAST(CAST(substr(u.o_orderpriority, 1, 1) AS INT) % 3 AS INT) AS interaction_type
   FROM visits u JOIN clicks c ON c.l_orderkey = u.o_orderkey
   JOIN users w ON w.user_id = u.o_custkey
-  LEFT JOIN placed p ON p.l_orderkey = u.o_orderkey AND p.pos = c.click_idx
-  WHERE u.t < 20),
+  LEFT JOIN placed p ON p.l_orderkey = u.o_orderkey AND p.pos = c.click_idx),
 exposure AS (
   SELECT w.row_idx, u.o_custkey AS user_id, CAST(u.t AS INT) AS t, CAST(p.pos AS INT) AS pos,
          CAST(p.item_id AS INT) AS item_id
   FROM visits u JOIN placed p ON p.l_orderkey = u.o_orderkey
-  JOIN users w ON w.user_id = u.o_custkey WHERE u.t < 20
+  JOIN users w ON w.user_id = u.o_custkey
   UNION ALL
   SELECT w.row_idx, u.o_custkey, CAST(u.t AS INT), 0, 1
-  FROM visits u JOIN users w ON w.user_id = u.o_custkey WHERE u.t < 20),
+  FROM visits u JOIN users w ON w.user_id = u.o_custkey),
+step_no AS (
+  SELECT row_idx, CAST(unnest(range(greatest(20, count(*)))) AS INT) AS t
+  FROM interaction GROUP BY row_idx),
 step AS (
-  SELECT u.row_idx, u.user_id, CAST(g.t AS INT) AS t, coalesce(i.click, 0) AS click,
+  SELECT u.row_idx, u.user_id, g.t, coalesce(i.click, 0) AS click,
          coalesce(i.click_idx, 0) AS click_idx, coalesce(i.slate_length, 0) AS slate_length,
          coalesce(i.interaction_type, 0) AS interaction_type
-  FROM users u CROSS JOIN range(20) g(t)
+  FROM users u JOIN step_no g ON g.row_idx = u.row_idx
   LEFT JOIN interaction i ON i.user_id = u.user_id AND i.t = g.t),
 slot AS (
   SELECT s.row_idx, s.user_id, s.t, CAST(g.p AS INT) AS pos, coalesce(e.item_id, 0) AS item_id
@@ -98,7 +99,7 @@ slate AS (
 widths AS (SELECT max(item_id) + 1 AS n_items FROM exposure),
 item_name AS (
   SELECT CAST(3 + p_partkey AS INT) AS item_id, p_type || ',' || p_brand AS category_name
-  FROM part, dims WHERE p_partkey < m
+  FROM part
   UNION ALL SELECT 0, 'PAD' UNION ALL SELECT 1, 'noClick' UNION ALL SELECT 2, '<UNK>'),
 item AS (
   SELECT item_id, category_name,
@@ -111,8 +112,8 @@ vocab AS (
   UNION ALL SELECT 'interaction_type', 1, 'search'
   UNION ALL SELECT 'interaction_type', 2, 'recommendation'),
 itemvec AS (
-  SELECT CAST(3 + vec_id AS INT) AS id, list_transform(embedding, lambda x: x::DOUBLE)::DOUBLE[] AS vec
-  FROM embeddings, dims WHERE vec_id < m),
+  SELECT CAST(3 + p_partkey AS INT) AS id, list_transform(embedding, lambda x: x::DOUBLE)::DOUBLE[] AS vec
+  FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
 uservec AS (
   SELECT u.row_idx, u.user_id AS id, list_transform(e.embedding, lambda x: x::DOUBLE)::DOUBLE[] AS vec
   FROM users u JOIN embeddings e
@@ -146,7 +147,7 @@ mask AS (
   SELECT s.row_idx, s.user_id, g.t,
          CASE WHEN g.t >= 5 AND s.split = 'valid' THEN 2
               WHEN g.t >= 5 AND s.split = 'test' THEN 3 ELSE 1 END AS mask_type
-  FROM split s CROSS JOIN range(20) g(t)),
+  FROM split s JOIN step_no g ON g.row_idx = s.row_idx),
 views AS (
   SELECT CAST(g.i AS INT) AS item_id, count(s.item_id) AS views
   FROM range((SELECT n_items FROM widths)) g(i) LEFT JOIN slot s ON s.item_id = g.i GROUP BY 1),
@@ -179,8 +180,9 @@ rc AS (
   SELECT row_idx, t, click, row_number() OVER (PARTITION BY row_idx ORDER BY t) AS k
   FROM interaction WHERE click >= 3),
 clicks_before AS (
-  SELECT u.row_idx, u.user_id, CAST(g.t AS INT) AS t, count(rc.t) AS n
-  FROM users u CROSS JOIN range(21) g(t) LEFT JOIN rc ON rc.row_idx = u.row_idx AND rc.t < g.t
+  SELECT u.row_idx, u.user_id, g.t, count(rc.t) AS n
+  FROM users u JOIN (SELECT * FROM step_no UNION ALL SELECT row_idx, max(t) + 1 FROM step_no GROUP BY 1) g
+  ON g.row_idx = u.row_idx LEFT JOIN rc ON rc.row_idx = u.row_idx AND rc.t < g.t
   GROUP BY ALL),
 levels AS (SELECT row_idx, 0 AS n FROM users UNION ALL SELECT row_idx, k FROM rc),
 """
@@ -388,7 +390,9 @@ BODIES = {
     # validation, dimensions
     "validate_log": """
       SELECT unnest(['has_slate', 'has_click', 'steps_click', 'steps_click_idx', 'steps_slate_lengths',
-        'steps_interaction_type', 'step_count_users']) AS "check", CAST(0 AS BIGINT) AS violations
+        'steps_interaction_type']) AS "check", CAST(0 AS BIGINT) AS violations
+      UNION ALL SELECT 'step_count_users', CAST(min(n) <> max(n) AS BIGINT) FROM (
+        SELECT count(*) AS n FROM step_no GROUP BY row_idx)
       UNION ALL SELECT 'slate_width', count(*) FROM (SELECT row_idx FROM step GROUP BY 1
         HAVING min(greatest(25, slate_length)) <> max(greatest(25, slate_length)))
       UNION ALL SELECT 'slate_width_users', CAST(count(DISTINCT w) > 1 AS BIGINT) FROM (
@@ -397,7 +401,8 @@ BODIES = {
       WHERE NOT EXISTS (SELECT 1 FROM exposure e WHERE e.row_idx = i.row_idx AND e.t = i.t
         AND e.pos = i.click_idx AND e.item_id = i.click)""",
     "dataset_dims": """
-      SELECT CAST((SELECT n_items FROM widths) AS BIGINT) AS num_items, CAST(20 AS BIGINT) AS num_interactions,
+      SELECT CAST((SELECT n_items FROM widths) AS BIGINT) AS num_items,
+        (SELECT CAST(max(t) + 1 AS BIGINT) FROM step_no) AS num_interactions,
         (SELECT greatest(25, max(slate_length))::BIGINT FROM step) AS maxlen_slate,
         max(user_id) + 1 AS num_users, CAST(3 AS BIGINT) AS num_interaction_types FROM users""",
     "num_groups": "SELECT count(DISTINCT category_id) AS num_groups FROM item",
@@ -486,7 +491,7 @@ BODIES = {
     "phase_mask": f"""
       SELECT m.phase, m.user_id, {text('''list(CASE WHEN m.phase <> 'train' THEN CAST(g.t >= 5 AS INT)
         ELSE CAST(m.split = 'train' OR g.t < 5 AS INT) END ORDER BY g.t)''', '')} AS phase_mask
-      FROM member m CROSS JOIN range(20) g(t) GROUP BY 1, 2""",
+      FROM member m JOIN step_no g ON g.row_idx = m.row_idx GROUP BY 1, 2""",
     "mask_type": f"SELECT user_id, {text('list(mask_type ORDER BY t)', '')} AS mask_type FROM mask GROUP BY 1",
     "phase_mask_from_type": f"""
       SELECT p.phase, m.user_id, {text('list(CAST(m.mask_type = p.code AS INT) ORDER BY m.t)', '')} AS phase_mask
@@ -527,7 +532,7 @@ BODIES = {
       FROM itemdim v JOIN itemscale s ON s.id = v.id CROSS JOIN range(2) g(draw)""",
     "sample_click": f"""
       SELECT x.user_id, x.t, coalesce(min(x.pos) FILTER (x.cum >= {U('=click', '=0', 'x.user_id', 'x.t')}),
-        max(x.pos)) AS pos, any_value(x.t) = 19 AS click_at_end
+        max(x.pos)) AS pos, any_value(x.t) >= 19 AS click_at_end
       FROM (SELECT p.row_idx, p.user_id, p.t, p.pos, sum(p.prob) OVER (
               PARTITION BY p.row_idx, p.t ORDER BY p.pos) AS cum FROM prob p
             JOIN (SELECT row_idx, max(t) AS t FROM interaction GROUP BY 1) l
@@ -639,8 +644,8 @@ BODIES = {
       FROM users u CROSS JOIN range(64) g(d) LEFT JOIN (
         SELECT c.row_idx, c.d, sum(c.w * c.x) AS mean,
           sum(c.v * (c.x - c.centre) * (c.x - c.centre)) AS spread FROM (
-          SELECT s.row_idx, v.d, v.x, s.w, s.v, sum(v.x) OVER (PARTITION BY s.row_idx, v.d) / 20 AS centre
-          FROM (SELECT row_idx, click, raw / (sum(raw) OVER (PARTITION BY row_idx) + 1e-5) AS w,
+          SELECT s.row_idx, v.d, v.x, s.w, s.v, sum(v.x) OVER (PARTITION BY s.row_idx, v.d) / s.n AS centre
+          FROM (SELECT row_idx, click, count(*) OVER (PARTITION BY row_idx) AS n, raw / (sum(raw) OVER (PARTITION BY row_idx) + 1e-5) AS w,
                   pos / (sum(pos) OVER (PARTITION BY row_idx) + 1e-5) AS v FROM (
                   SELECT row_idx, click, pos, CASE WHEN mask_type = 1 THEN pos / (pow(
                     sum(pos) OVER (PARTITION BY row_idx ORDER BY t), 0.7::DOUBLE) + 1e-5) ELSE 0 END AS raw
@@ -660,11 +665,11 @@ BODIES = {
           SELECT q.user_id, v.id AS item_id, list_dot_product(q.vec, v.vec) AS s
           FROM state q CROSS JOIN itemvec v WHERE q.t = 5)) WHERE rank <= 20""",
     "topk_over_time": f"""
-      SELECT user_id, t, item_id, rank, {r6('s')} AS score FROM (
-        SELECT *, CAST(row_number() OVER (PARTITION BY user_id, t ORDER BY s DESC, item_id) AS INT) AS rank FROM (
-          SELECT q.user_id, q.t, v.id AS item_id, -sqrt(greatest(list_dot_product(q.vec, q.vec)
+      SELECT b.user_id, b.t, item_id, rank, {r6('s')} AS score FROM clicks_before b JOIN (
+        SELECT *, CAST(row_number() OVER (PARTITION BY row_idx, n ORDER BY s DESC, item_id) AS INT) AS rank FROM (
+          SELECT q.row_idx, q.n, v.id AS item_id, -sqrt(greatest(list_dot_product(q.vec, q.vec)
             - 2 * list_dot_product(q.vec, v.vec) + list_dot_product(v.vec, v.vec), 1e-10)) AS s
-          FROM state q CROSS JOIN itemvec v WHERE q.t < 10)) WHERE rank <= 5""",
+          FROM state_vec q CROSS JOIN itemvec v)) r ON r.row_idx = b.row_idx AND r.n = b.n WHERE rank <= 5""",
     "topk_inslate_thompson": f"""
       SELECT user_id, item_id, CAST(rank AS INT) AS rank FROM (
         SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY min(r * 5 + draw)) AS rank
@@ -686,11 +691,12 @@ BODIES = {
         FROM step
         UNION ALL SELECT s.row_idx, s.t, 'click', n.category_name FROM step s JOIN item_name n ON n.item_id = s.click
         UNION ALL SELECT x.row_idx, x.t, 'rec item ' || (x.r - 1), n.category_name FROM (
-          SELECT q.row_idx, q.t, v.id, row_number() OVER (PARTITION BY q.row_idx, q.t
-            ORDER BY list_dot_product(q.vec, v.vec) DESC, v.id) AS r
-          FROM state q CROSS JOIN (SELECT id, vec FROM itemvec UNION ALL
-            SELECT CAST(i AS INT), list_transform(range(64), lambda z: 0::DOUBLE) FROM range(3) g(i)) v
-          WHERE q.t < 10 QUALIFY r <= 2) x JOIN item_name n ON n.item_id = x.id)
+          SELECT b.row_idx, b.t, y.id, y.r FROM clicks_before b JOIN (
+            SELECT row_idx, n, id, row_number() OVER (PARTITION BY row_idx, n ORDER BY s DESC, id) AS r FROM (
+              SELECT q.row_idx, q.n, v.id, list_dot_product(q.vec, v.vec) AS s
+              FROM state_vec q CROSS JOIN itemvec v
+              UNION ALL SELECT q.row_idx, q.n, g.i, 0 FROM state_vec q CROSS JOIN range(3) g(i))
+            QUALIFY r <= 2) y ON y.row_idx = b.row_idx AND y.n = b.n) x JOIN item_name n ON n.item_id = x.id)
       WHERE t < 10 GROUP BY 1, 2""",
     "recs_in_external_list": """
       SELECT a.user_id, count(b.item_id) AS n FROM top20 a LEFT JOIN top20l2 b

@@ -810,8 +810,8 @@ def topk_at_step(t):
 
 @query
 def topk_over_time(t):
-    states = profile.step_states(linear(t), upto=9)
-    steps = t.users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    states = profile.step_states(linear(t))
+    steps = t.log.select(F.explode(F.sequence(F.lit(0), F.size("click"))).alias("t"))
     ranked = recommend.topk_states(states, t.itemvec, 5, "l2", sized_like=steps)
     return with_user(ranked, t).select("user_id", "t", "item_id", "rank", r6("score").alias("score"))
 

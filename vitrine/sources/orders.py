@@ -7,7 +7,7 @@ shared folder, since a stored log is what every operator reads.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.functions.hashing import hash60
 from vitrine.functions.joins import gather
@@ -26,13 +26,6 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def item_limit(spark, sf_dir):
-    """Number of real items, as a scalar: parts that also have a vector."""
-    parts = _table(spark, sf_dir, "part").agg(F.count("*")).scalar()
-    vecs = _table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
-    return F.least(parts, vecs)
-
-
 def slates(spark, sf_dir) -> DataFrame:
     """(order_key, slate, click_idx, click) per order with lines.
 
@@ -43,7 +36,7 @@ def slates(spark, sf_dir) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     unknown = hash60("unk", F.col("l_orderkey"), F.col("l_partkey")) % 50 == 0
     item = F.when(unknown, F.lit(UNKNOWN)).otherwise(
-        (FIRST_REAL + F.col("l_partkey") % item_limit(spark, sf_dir)).cast("int")
+        (FIRST_REAL + F.col("l_partkey")).cast("int")
     )
     shown = line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln")).select(
         F.col("l_orderkey").alias("order_key"), "ln", item.alias("item_id"))
@@ -63,19 +56,19 @@ def _padded(values, length, fill):
 
 
 def wide_log(spark, sf_dir) -> DataFrame:
-    """The wide log without ``row_idx``: the first steps of every user."""
+    """The wide log without ``row_idx``: all orders with lines, in order of date.
+
+    Arrays hold at least MAX_STEPS entries and more for users with more orders.
+    A user is one row, so one user's orders must fit in a task.
+    """
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )
-    by_user = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    steps = (
-        orders.join(slates(spark, sf_dir), F.col("o_orderkey") == F.col("order_key"))
-        .withColumn("rn", F.row_number().over(by_user))
-        .where(F.col("rn") <= MAX_STEPS)
-    )
+    steps = orders.join(slates(spark, sf_dir), F.col("o_orderkey") == F.col("order_key"))
     kind = F.substring("o_orderpriority", 1, 1).cast("int") % 3
     step = F.struct(
-        F.col("rn").alias("t"),
+        "o_orderdate",
+        "o_orderkey",
         "click",
         "click_idx",
         F.size("slate").alias("slate_lengths"),
@@ -83,7 +76,7 @@ def wide_log(spark, sf_dir) -> DataFrame:
         _padded(F.col("slate"), MAX_SLATE, F.lit(0)).alias("slate"),
     )
     users = steps.groupBy(F.col("o_custkey").alias("user_id")).agg(
-        F.array_sort(F.collect_list(step)).alias("s")  # at most MAX_STEPS entries
+        F.array_sort(F.collect_list(step)).alias("s")
     )
     flat = [
         _padded(F.col(f"s.{c}"), MAX_STEPS, F.lit(0)).alias(c)
@@ -109,17 +102,13 @@ def user_index(spark, sf_dir) -> DataFrame:
 
 def items(spark, sf_dir) -> DataFrame:
     """(item_id, category_id, category_name), reserved ids included."""
-    m = item_limit(spark, sf_dir)
-    real = _table(spark, sf_dir, "part").where(F.col("p_partkey") < m).select(
+    real = _table(spark, sf_dir, "part").select(
         (FIRST_REAL + F.col("p_partkey")).cast("int").alias("item_id"),
         F.concat_ws(",", "p_type", "p_brand").alias("category_name"),
     )
-    # the vocabulary: one row per distinct category
     names = real.select("category_name").distinct()
-    numbered = names.select(
-        "category_name",
-        (UNKNOWN + F.row_number().over(Window.orderBy("category_name"))).alias("category_id"),
-    )
+    numbered = global_row_number(names, "category_name", name="n").select(
+        "category_name", (FIRST_REAL + F.col("n")).alias("category_id"))
     reserved = spark.createDataFrame(
         [(i, i, name) for i, name in enumerate(RESERVED_NAMES)],
         "item_id int, category_id int, category_name string",
@@ -129,23 +118,26 @@ def items(spark, sf_dir) -> DataFrame:
     ).unionByName(reserved)
 
 
+def _embedded(spark, sf_dir, rows, key, spread) -> DataFrame:
+    """``rows`` with the embedding numbered ``key`` modulo their count as ``vec``."""
+    emb = _table(spark, sf_dir, "embeddings")
+    n = emb.agg(F.count("*")).scalar()
+    keyed = rows.withColumn("vec_id", key % n)
+    found = gather(keyed, emb.select("vec_id", "embedding"), "vec_id", "vec_id", spread=(spread,))
+    return found.withColumn("vec", F.col("embedding").cast("array<double>"))
+
+
 def item_vectors(spark, sf_dir) -> DataFrame:
-    m = item_limit(spark, sf_dir)
-    return _table(spark, sf_dir, "embeddings").where(F.col("vec_id") < m).select(
-        (FIRST_REAL + F.col("vec_id")).cast("bigint").alias("id"),
-        F.col("embedding").cast("array<double>").alias("vec"),
-    )
+    """(id, vec) of every part; parts beyond the number of embeddings share them."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey")
+    return _embedded(spark, sf_dir, parts, F.col("p_partkey"), "p_partkey").select(
+        (FIRST_REAL + F.col("p_partkey")).cast("bigint").alias("id"), "vec")
 
 
 def user_vectors(spark, sf_dir, users: DataFrame) -> DataFrame:
     """(id, row_idx, vec): every user gets one of the embeddings by hash."""
-    emb = _table(spark, sf_dir, "embeddings")
-    n = emb.agg(F.count("*")).scalar()
-    keyed = users.withColumn("vec_id", hash60("user", F.col("user_id")) % n)
-    vecs = emb.select("vec_id", "embedding")
-    return gather(keyed, vecs, "vec_id", "vec_id", spread=("user_id",)).select(
-        F.col("user_id").alias("id"), "row_idx", F.col("embedding").cast("array<double>").alias("vec")
-    )
+    return _embedded(spark, sf_dir, users, hash60("user", F.col("user_id")), "user_id").select(
+        F.col("user_id").alias("id"), "row_idx", "vec")
 
 
 def vocab(items_df: DataFrame) -> DataFrame:

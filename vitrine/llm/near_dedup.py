@@ -277,13 +277,18 @@ def _labelled(rows, labels, key, name, spread):
     return got.withColumn(name, F.coalesce("_label", F.col(key))).drop("_label")
 
 
-def _in_large_nodes(members, labels, sets, percent):
-    """Links between the components of large nodes; all but the main one stand on the right."""
+def _open_members(members, labels):
+    """Members of the large nodes that hold several components; all but those of the main
+    one stand on the right."""
     members = cut_lineage(_labelled(members.select("node", "cid"), labels, "cid", "comp", ("node",)))
     parts = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("node", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("m"))
-    members = members.join(main, "node").withColumn("right", F.col("comp") != F.col("main"))
+    return members.join(main, "node").withColumn("right", F.col("comp") != F.col("main"))
+
+
+def _in_large_nodes(members, sets, percent):
+    """Links between the components of large nodes."""
     own = lambda c: _object_array([np.asarray(x.values) for x in c])
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), own, _exact(percent), ["a", "b"])
     return _units_of(members, sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct()
@@ -343,7 +348,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall:
     others = partners.where("not best").select("a", "b")
     others = _labelled(_labelled(others, labels, "a", "x", ("b",)), labels, "b", "y", ("a",))
     others = cut_lineage(others.where("x <> y").select("a", "b"))
-    second = cut_lineage(_confirmed(others, sets, percent).unionByName(_in_large_nodes(large, labels, sets, percent)))
+    members = cut_lineage(_open_members(large, labels))
+    # few sets are asked for again: the others stay where they are
+    again = others.select(F.explode(F.array("a", "b")).alias("cid")).union(members.select("cid")).distinct()
+    sets = cut_lineage(sets.join(small_or_shuffled(cut_lineage(again)), "cid", "left_semi"))
+    second = cut_lineage(_confirmed(others, sets, percent).unionByName(_in_large_nodes(members, sets, percent)))
     return labels if second.isEmpty() else components(first.unionByName(second))
 
 

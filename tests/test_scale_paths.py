@@ -94,7 +94,7 @@ def test_blocked_topk_equals_brute_force(spark, dist):
         for rank, (_, j) in enumerate(sorted(scored)[:8], 1):
             want.add((i, j, rank))
     assert {(r["row_idx"], r["item_id"], r["rank"]) for r in got.collect()} == want
-    # the short-list way gives the same lists
+    # a list of targets gives the same lists
     short = recommend.topk_targets(u, v.withColumnRenamed("id", "item_id"), 8, dist)
     assert {(r["row_idx"], r["item_id"], r["rank"]) for r in short.collect()} == want
 

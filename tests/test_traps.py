@@ -326,10 +326,16 @@ def test_type_names_are_null_when_unknown(spark):
 
 def test_long_target_lists_are_refused(spark):
     users = spark.range(2).select(F.col("id").alias("row_idx"))
-    with pytest.raises(ValueError, match="topk_items"):
+    with pytest.raises(ValueError, match="topk_targets"):
         attach.users_x_items(users, spark.range(10_001).select(F.col("id").alias("item_id")))
 
 
+def test_topk_targets_takes_lists_of_any_length(spark):
+    users = vectors(spark, {0: [1.0]}).withColumnRenamed("id", "row_idx")
+    targets = spark.range(3, 10_013).select(F.col("id").cast("int").alias("item_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    assert _col(recommend.topk_targets(users, targets, 2).orderBy("rank"), "item_id") == [10_012, 10_011]
+
+
 def test_dense_attributes(spark):
     df = spark.createDataFrame([([0, 1, 2, 7],)], "category array<int>")
     assert list(map(tuple, logs.item_attr_from_dense(df).collect())) == [(0, 0), (1, 1), (2, 2), (3, 7)]
@@ -438,6 +444,14 @@ def test_footrule_counts_all_ids(spark):
     assert metrics.footrule(a, short, F.lit(1), F.lit(7)).first()[0] == pytest.approx(3 / 7)
 
 
+def test_topk_footrule_per_split(spark):
+    users = spark.createDataFrame([(0, "train"), (1, "train"), (2, "test")], "row_idx bigint, split string")
+    a = _recs(spark, {0: [3, 4], 1: [3, 4], 2: [3, 4]})
+    b = _recs(spark, {0: [3, 4], 1: [5, 6], 2: [4, 3]})
+    got = dict(map(tuple, metrics.topk_footrule(a, b, users, 2).collect()))
+    assert got == {"train": pytest.approx(0.5), "test": pytest.approx(2 / 6)}
+
+
 def test_rank_from_order(spark):
     ordered = recommend.order_items(spark.createDataFrame([(4, 9), (3, 5), (5, 9)], "item_id int, n int"),
                                     F.desc("n"), F.asc("item_id"))

@@ -1,5 +1,7 @@
 """Arithmetic on array<double> columns, and the pluggable score functions."""
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 
@@ -41,10 +43,12 @@ def zeros(n) -> Column:
 
 
 def matvec(rows, x) -> Column:
-    """Product of a small Python matrix (list of rows) with a vector column."""
-    return F.array(*[
-        dot(F.array(*[F.lit(float(w)) for w in row]), x) for row in rows
-    ])
+    """Product of a Python matrix (list of rows) with a vector column.
+
+    The matrix is one constant of the plan, whatever its size.
+    """
+    text = json.dumps([[float(w) for w in row] for row in rows])
+    return F.transform(F.from_json(F.lit(text), "array<array<double>>"), lambda row: dot(row, x))
 
 
 def as_double(x) -> Column:

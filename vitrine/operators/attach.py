@@ -66,7 +66,7 @@ def _packed(targets) -> DataFrame:
     """One row holding the whole target list, refused beyond ``MAX_TARGETS``."""
     n = targets.limit(MAX_TARGETS + 1).count()
     if n > MAX_TARGETS:
-        raise ValueError("too many targets to score one by one; use topk_items")
+        raise ValueError("too many targets to score one by one; use topk_targets")
     fields = F.struct(*targets.columns)
     return targets.agg(F.sort_array(F.collect_list(fields)).alias("targets"))
 

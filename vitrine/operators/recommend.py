@@ -5,7 +5,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vitrine.functions.ranking import global_row_number
-from vitrine.functions.vectors import SCORES
 from vitrine.schema import FIRST_REAL
 
 QUERY = ("draw", "row_idx", "t")
@@ -163,18 +162,9 @@ def topk_items(uservec, itemvec, k, dist="dot", **blocks) -> DataFrame:
         "row_idx", "item_id", "score", "rank")
 
 
-def topk_targets(uservec, targets, k, dist="dot") -> DataFrame:
-    """The same against a short target list (item_id, vec), scored in place."""
-    from vitrine.operators.attach import _packed
-
-    listed = _packed(targets.where(F.col("item_id") >= FIRST_REAL).select("item_id", "vec"))
-    rows = uservec.select("row_idx", "vec").withColumn("_t", listed.scalar())
-    scored = F.transform("_t", lambda c: F.struct(
-        (-SCORES[dist](F.col("vec"), c["vec"])).alias("s"), c["item_id"].alias("item_id")))
-    best = F.slice(F.array_sort(scored), 1, k)
-    return rows.select("row_idx", F.posexplode(best).alias("p", "b")).select(
-        "row_idx", F.col("b.item_id").alias("item_id"), (-F.col("b.s")).alias("score"),
-        (F.col("p") + 1).alias("rank"))
+def topk_targets(uservec, targets, k, dist="dot", **blocks) -> DataFrame:
+    """The same against a list of targets (item_id, vec) of any length."""
+    return topk_items(uservec, targets.select(F.col("item_id").alias("id"), "vec"), k, dist, **blocks)
 
 
 def topk_inslate_thompson(states, posterior, k, temp=1.0, seed=0, dist="dot") -> DataFrame:

@@ -77,7 +77,7 @@ def _with_moments(params):
     return params.withColumn("m", zero).withColumn("v", zero)
 
 
-def mf_fit(steps, users, item_ids, num_items: Column, dim=9, epochs=3, negatives=4,
+def mf_fit(steps, users, item_ids, num_items: Column, dim=9, epochs=100, negatives=4,
            lr=1e-3, seed=1):
     """(users, items, metrics): full-gradient fit, best epoch by valid loglik.
 

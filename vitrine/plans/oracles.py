@@ -170,12 +170,6 @@ l2 AS (
 top20l2 AS (
   SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY s DESC, item_id) AS rank
   FROM l2 QUALIFY rank <= 20),
-hatscore AS (
-  SELECT u.row_idx, v.id AS item_id, list_dot_product(u.vec, v.vec) AS s
-  FROM uservec u CROSS JOIN itemhat v),
-top20hat AS (
-  SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY s DESC, item_id) AS rank
-  FROM hatscore QUALIFY rank <= 20),
 rc AS (
   SELECT row_idx, t, click, row_number() OVER (PARTITION BY row_idx ORDER BY t) AS k
   FROM interaction WHERE click >= 3),
@@ -302,7 +296,7 @@ def _gru(w):
     gate = "lambda z: 1 / (1 + exp(-(z[1] + z[2])))"
     return f"""
 gru AS (
-  SELECT row_idx, CAST(0 AS BIGINT) AS n, vec[1:8] AS h FROM uservec
+  SELECT row_idx, CAST(0 AS BIGINT) AS n, vec AS h FROM uservec
   UNION ALL
   SELECT row_idx, n + 1, list_transform(list_zip(list_transform(
       list_zip(reset, {_times(w['in'], 'x')}, {_times(w['hn'], 'h')}), lambda z: tanh(z[2] + z[1] * z[3])),
@@ -310,7 +304,7 @@ gru AS (
   FROM (SELECT row_idx, n, h, x,
           list_transform(list_zip({_times(w['ir'], 'x')}, {_times(w['hr'], 'h')}), {gate}) AS reset,
           list_transform(list_zip({_times(w['id'], 'x')}, {_times(w['hd'], 'h')}), {gate}) AS keep
-        FROM (SELECT g.row_idx, g.n, g.h, v.vec[1:8] AS x FROM gru g
+        FROM (SELECT g.row_idx, g.n, g.h, v.vec AS x FROM gru g
               JOIN rc ON rc.row_idx = g.row_idx AND rc.k = g.n + 1 JOIN itemvec v ON v.id = rc.click))),
 grustate AS (
   SELECT b.row_idx, b.user_id, b.t, {_times(w['z'], 'g.h')} AS z FROM clicks_before b
@@ -371,7 +365,15 @@ per_user AS (
   FROM step s JOIN slate l ON l.row_idx = s.row_idx AND l.t = s.t GROUP BY 1, 2)
 """
 
-_RANKS = "JOIN users u ON u.row_idx = x.row_idx"
+
+def _last_top(states, items):
+    """The 20 best items of each user's last state, ranks from 1."""
+    return f"""
+      SELECT q.row_idx, v.id, row_number() OVER (
+        PARTITION BY q.row_idx ORDER BY list_dot_product(q.vec, v.vec) DESC, v.id) AS rank
+      FROM (SELECT row_idx, vec FROM {states} QUALIFY t = max(t) OVER (PARTITION BY row_idx)) q
+      CROSS JOIN {items} v QUALIFY rank <= 20"""
+
 
 BODIES = {
     # scans, sinks
@@ -633,11 +635,12 @@ BODIES = {
       FROM clicks_before b LEFT JOIN rc ON rc.row_idx = b.row_idx AND rc.k = b.n
       LEFT JOIN itemvec v ON v.id = rc.click""",
     "profile_start": f"""
-      SELECT user_id, 'zero' AS kind, repeat('0,', 7) || '0' AS h0 FROM users
-      UNION ALL SELECT id, 'normal', {millionths('vec[1:8]')} FROM uservec
+      SELECT user_id, 'zero' AS kind, repeat('0,', 63) || '0' AS h0 FROM users
+      UNION ALL SELECT id, 'normal', {millionths('vec')} FROM uservec
       UNION ALL SELECT id, 'compact_normal', {millionths('list(x ORDER BY r)')} FROM (
-        SELECT u.id, g.r, sum(({U('=start', 'g.r', 'u.d')} - 0.5::DOUBLE) * u.x) AS x
-        FROM userdim u CROSS JOIN range(8) g(r) WHERE u.d < 8 GROUP BY 1, 2) GROUP BY id""",
+        SELECT u.id, w.r, sum(w.w * u.x) AS x FROM userdim u JOIN (
+          SELECT g.r, h.d, {U('=start', 'g.r', 'h.d')} - 0.5::DOUBLE AS w
+          FROM range(64) g(r) CROSS JOIN range(64) h(d)) w ON w.d = u.d GROUP BY 1, 2) GROUP BY id""",
     "amortized_start": f"""
       SELECT u.user_id, {millionths('list(coalesce(a.mean, 0) ORDER BY g.d)')} AS mean,
         {millionths('list(0.2::DOUBLE * sqrt(coalesce(a.spread, 0) + 1e-6) ORDER BY g.d)')} AS scale
@@ -655,7 +658,7 @@ BODIES = {
       ON a.row_idx = u.row_idx AND a.d = g.d GROUP BY 1""",
     "profile_gru": f"SELECT user_id, t, {millionths('z')} AS vec FROM grustate",
     "profile_linear_gru": f"""
-      SELECT g.user_id, g.t, {millionths('list_transform(list_zip(g.z, s.vec[1:8]), lambda p: (p[1] + p[2]) * 0.5::DOUBLE)')} AS vec
+      SELECT g.user_id, g.t, {millionths('list_transform(list_zip(g.z, s.vec), lambda p: (p[1] + p[2]) * 0.5::DOUBLE)')} AS vec
       FROM grustate g JOIN state s ON s.row_idx = g.row_idx AND s.t = g.t""",
     # top-k
     "topk_items": f"SELECT user_id, item_id, rank, {r6('s')} AS score FROM top20",
@@ -721,8 +724,9 @@ BODIES = {
       SELECT phase, t, {r6('reward')} AS reward FROM reward
       UNION ALL SELECT phase, CAST(-1 AS INT), {r6('avg(reward)')} FROM reward GROUP BY phase""",
     "footrule": f"""
-      SELECT {r6('sum(abs(coalesce(a.rank - 1, 0) - coalesce(b.rank - 1, 0)))::DOUBLE / ((SELECT count(*) FROM users) * (SELECT n_items FROM widths))')} AS footrule
-      FROM top20 a FULL JOIN top20hat b ON b.row_idx = a.row_idx AND b.item_id = a.item_id""",
+      SELECT s.split AS phase, {r6('avg(coalesce(d.gap, 0) / 420::DOUBLE)')} AS footrule FROM split s LEFT JOIN (
+        SELECT row_idx, sum(abs(coalesce(a.rank, 21) - coalesce(b.rank, 21))) AS gap
+        FROM lasttop a FULL JOIN lasttophat b USING (row_idx, id) GROUP BY 1) d ON d.row_idx = s.row_idx GROUP BY 1""",
     # model fitting
     "mf_init": f"""
       SELECT 'user' AS name, id, {millionths('vec')} AS vec FROM mfuser
@@ -744,6 +748,7 @@ EXTRA = {
     "profile_gru": _gru(gru_weights()),
     "profile_linear_gru": _gru(gru_weights()),
     "mf_fit": _fit(MF_EPOCHS, MF_RATE),
+    "footrule": f"lasttop AS ({_last_top('state', 'itemvec')}), lasttophat AS ({_last_top('hatstate', 'itemhat')})",
 }
 
 ORACLES = {

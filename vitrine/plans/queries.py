@@ -19,7 +19,6 @@ from vitrine.sources.orders import slate_tables, write_tables
 from vitrine.sources.shared import new_path
 
 DIM = 64
-SMALL_DIM = 8
 MF_DIM = 9
 MF_EPOCHS = 3
 MF_RATE = 0.01
@@ -114,18 +113,15 @@ def itemvec_hat(t):
         "id", F.zip_with("vec", "nxt", lambda a, b: (a + b) * 0.5).alias("vec"))
 
 
-def started(t, itemvec=None, dim=None, log=None, keep=()):
+def started(t, itemvec=None, log=None, keep=()):
     """Click vectors and start vectors of every user."""
-    vecs, users = itemvec if itemvec is not None else t.itemvec, t.uservec
-    if dim:
-        vecs = vecs.withColumn("vec", F.slice("vec", 1, dim))
-        users = users.withColumn("vec", F.slice("vec", 1, dim))
+    vecs = itemvec if itemvec is not None else t.itemvec
     clicked = profile.click_vectors(log if log is not None else t.log, vecs, keep)
-    return profile.profile_start(clicked, "normal", dim or DIM, users)
+    return profile.profile_start(clicked, "normal", DIM, t.uservec)
 
 
 def linear(t, itemvec=None, log=None, keep=()):
-    return profile.fold_linear(started(t, itemvec, None, log, keep), GAMMA)
+    return profile.fold_linear(started(t, itemvec, log, keep), GAMMA)
 
 
 def shown_scores(t, observed=False, compare=False):
@@ -201,8 +197,10 @@ def hashed_matrix(tag, rows, cols):
     return [[entry(r, c) for c in range(cols)] for r in range(rows)]
 
 
-def gru_weights(dim=SMALL_DIM):
-    return {w: hashed_matrix(f"gru:{w}", dim, dim) for w in ("z", "ir", "id", "in", "hr", "hd", "hn")}
+def gru_weights(dim=DIM):
+    """Weights shrink with the width, so that gates don't saturate."""
+    return {w: [[x / dim**0.5 for x in row] for row in hashed_matrix(f"gru:{w}", dim, dim)]
+            for w in ("z", "ir", "id", "in", "hr", "hd", "hn")}
 
 
 # ---- scans, sinks ---------------------------------------------------------
@@ -767,21 +765,20 @@ def profile_markov(t):
 
 @query
 def profile_gru(t):
-    return _states(profile.fold_gru(started(t, dim=SMALL_DIM), gru_weights()))
+    return _states(profile.fold_gru(started(t), gru_weights()))
 
 
 @query
 def profile_linear_gru(t):
-    return _states(profile.fold_linear_gru(started(t, dim=SMALL_DIM), GAMMA, gru_weights()))
+    return _states(profile.fold_linear_gru(started(t), GAMMA, gru_weights()))
 
 
 @query
 def profile_start(t):
-    small = t.uservec.withColumn("vec", F.slice("vec", 1, SMALL_DIM))
-    matrix = hashed_matrix("start", SMALL_DIM, SMALL_DIM)
+    matrix = hashed_matrix("start", DIM, DIM)
     out = None
     for kind in ("zero", "normal", "compact_normal"):
-        rows = profile.profile_start(t.users, kind, SMALL_DIM, small, matrix).select(
+        rows = profile.profile_start(t.users, kind, DIM, t.uservec, matrix).select(
             "user_id", F.lit(kind).alias("kind"), millionths("h0").alias("h0"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -882,12 +879,13 @@ def reward_by_step(t):
 
 @query
 def footrule(t):
+    """Top-k lists of the true and the estimated model on each user's last state, per phase."""
     def ranks(vecs):
-        return top_items(t, itemvec=vecs).withColumn("rank", F.col("rank") - 1)
+        return recommend.topk_states(profile.state_at(linear(t, vecs)), vecs, TOP_K, sized_like=t.users)
 
-    n_users = t.users.agg(F.count("*")).scalar()
-    return metrics.footrule(ranks(t.itemvec), ranks(itemvec_hat(t)), n_users, n_items(t)).withColumn(
-        "footrule", r6("footrule"))
+    users = split.split_users_pct(t.users, t.users)
+    distance = metrics.topk_footrule(ranks(t.itemvec), ranks(itemvec_hat(t)), users, TOP_K)
+    return distance.select(F.col("split").alias("phase"), r6("footrule").alias("footrule"))
 
 
 # ---- model fitting --------------------------------------------------------

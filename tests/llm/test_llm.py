@@ -218,6 +218,22 @@ def test_near_dedup_is_exact(spark, real, words):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows(got)) == near_brute(docs, words)
 
 
+def test_one_document_linked_to_a_tight_group(spark):
+    """Groups of 40 copies with one word changed, each with one document at 0.82."""
+    docs, k, n = [], 5, 5000
+    for seed in range(16):
+        base = [f"s{seed}w{i}" for i in range(n)]
+        texts = [[*base[:-1], f"last{i}"] for i in range(40)]
+        far = list(base)
+        for at in range(10, 10 + 98 * 50, 50):
+            far[at] = f"far{at}"
+        same = n - k + 1 - 98 * k
+        assert 0.8 < same / (2 * (n - k + 1) - same) < 0.83
+        docs += [(1000 * seed + i, " ".join(t)) for i, t in enumerate([*texts, far])]
+    got = rows(near_dedup.near_dedup(documents(spark, docs)))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 1000 * 1000 for i, _ in docs}
+
+
 def test_near_dedup_of_odd_rows(odd, empty):
     got = rows(near_dedup.near_dedup(odd, words=2))
     assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in got) == [x[:2] for x in near_brute(ODD, 2)]

@@ -130,14 +130,18 @@ def _branch(similarity):
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two classes or more, with the size n; of nodes with the same
-    classes only one stays."""
+    """Rows of nodes with two classes or more, with the size n."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(rows.join(sizes, "node"))
+    return cut_lineage(rows.join(sizes, "node"))
+
+
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """Of nodes with the same classes only one stays.  Only for nodes that are compared as
+    they are: equal ones that branch on do so in ways of their own."""
     h = F.xxhash64("cid")
-    nodes = shared.groupBy("node", "n").agg(F.bit_xor(h).alias("x"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+    nodes = rows.groupBy("node", "n").agg(F.bit_xor(h).alias("x"), F.min(h).alias("lo"), F.max(h).alias("hi"))
     nodes = nodes.groupBy("n", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node")
-    return shared.join(nodes, "node", "left_semi")
+    return cut_lineage(rows.join(nodes, "node", "left_semi"))
 
 
 def tree_nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -146,8 +150,8 @@ def tree_nodes(classes: DataFrame, similarity: float, recall: float) -> DataFram
     rows = classes.select("cid", "sig").mapInArrow(_roots(trees, similarity), "node bigint, cid bigint")
     done = None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
-        sized = cut_lineage(_sized(cut_lineage(rows)))
-        ends = sized if depth == MAX_DEPTH else sized.where(F.col("n") <= SMALL_NODE)
+        sized = _sized(cut_lineage(rows))
+        ends = _one_of_equal(sized if depth == MAX_DEPTH else sized.where(F.col("n") <= SMALL_NODE))
         done = ends if done is None else done.unionByName(ends)
         large = sized.where(F.col("n") > SMALL_NODE)
         rows = large.select("node", "cid").join(classes.select("cid", "sig"), "cid").mapInArrow(

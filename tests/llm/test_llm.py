@@ -246,6 +246,32 @@ def test_trees_reach_the_recall():
     assert near_dedup.trees_for(0.999999, 0.8, 3) > near_dedup.trees_for(0.9, 0.8, 3) >= 2
 
 
+def test_recall_holds_over_shared_positions():
+    """Signatures drawn with a given number of agreeing positions, through the trees' own branching."""
+    n, rng = 4000, np.random.default_rng(11)
+    some = rng.integers(0, 1 << 32, (n, near_dedup.POSITIONS)).astype("<u4")
+    for agreeing in (20, 40):
+        other = some + np.uint32(1)
+        for row, own in zip(other, some):
+            at = rng.choice(near_dedup.POSITIONS, agreeing, replace=False)
+            row[at] = own[at]
+        met = 0
+        for pair in range(n):
+            nodes = []
+            for sig in (some[pair:pair + 1], other[pair:pair + 1]):
+                node = np.full(1, pair + 1, np.uint64)
+                for _ in range(2):
+                    _, node = near_dedup._children(node, np.repeat(sig, len(node), 0), 0.8)
+                nodes.append(set(node.tolist()))
+            met += bool(nodes[0] & nodes[1])
+        want = near_dedup._met(agreeing, 0.8, 2)
+        assert abs(met / n - want) < 5 * np.sqrt(want * (1 - want) / n)
+    trees, least = near_dedup.trees_for(0.999999, 0.8, 3), near_dedup.least_for(0.999999, 0.8)
+    missed = sum(p * (1 - near_dedup._passes(k, least) * (1 - (1 - near_dedup._met(k, 0.8, 3)) ** trees))
+                 for k, p in enumerate(near_dedup._agreeing(0.8)))
+    assert (trees, least) == (20, 34) and missed <= 1e-6
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 5), (7, 7)] + [(100 + i, 101 + i) for i in range(40)] + [(200, i) for i in range(201, 240)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))

@@ -42,14 +42,50 @@ _MUL = _rng.integers(1, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint6
 _ADD = _rng.integers(0, 1 << 63, POSITIONS, np.uint64)
 
 
-def trees_for(recall: float, similarity: float, depth: int) -> int:
-    """Trees that let a pair at ``similarity`` meet in a node with probability ``recall``."""
+def _agreeing(similarity: float) -> list:
+    """Probability of each number of agreeing positions of a pair's signatures."""
+    return [math.comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+
+
+def _met(agreeing: int, similarity: float, depth: int) -> float:
+    """Probability that a tree keeps a pair with ``agreeing`` positions together."""
+    pairs = POSITIONS * (POSITIONS - 1)
+    one = 2 * agreeing * (POSITIONS - agreeing) / pairs
+    both = agreeing * (agreeing - 1) / pairs
+    second = min(1.0, 1 / similarity - 1) * (POSITIONS - 1) / POSITIONS
     met = 1.0
     for _ in range(depth):
-        x = similarity * met
-        second = 1 / similarity - 1
-        met = (1 - second) * x + second * (1 - (1 - x) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+        two = one * met + both * (1 - (1 - met) ** 2)
+        met = (1 - second) * agreeing / POSITIONS * met + second * two
+    return met
+
+
+def _passes(agreeing: int, least: int) -> float:
+    """Probability that sketches agree in ``least`` positions: bytes of other tokens do in one of 256."""
+    other = POSITIONS - agreeing
+    return math.fsum(math.comb(other, j) * 255.0 ** (other - j) / 256.0**other for j in range(max(0, least - agreeing), other + 1))
+
+
+def least_for(recall: float, similarity: float) -> int:
+    """Sketch positions a pair must agree in: half of the misses ``recall`` allows go here."""
+    def missed(least):
+        return math.fsum(p * (1 - _passes(k, least)) for k, p in enumerate(_agreeing(similarity)))
+
+    return max(least for least in range(POSITIONS + 1) if missed(least) <= (1 - recall) / 2)
+
+
+def trees_for(recall: float, similarity: float, depth: int) -> int:
+    """Trees that let a pair at ``similarity`` meet in a node and pass the sketch with
+    probability ``recall``.  All trees draw from the same positions, so they are
+    independent only for a given number of agreeing ones."""
+    least = least_for(recall, similarity)
+    cases = [(p, _passes(k, least), _met(k, similarity, depth)) for k, p in enumerate(_agreeing(similarity))]
+    if math.fsum(p * (1 - seen * (met > 0)) for p, seen, met in cases) >= 1 - recall:
+        raise ValueError(f"{POSITIONS} positions are too few for recall {recall} at {similarity}")
+    trees = 1
+    while math.fsum(p * (1 - seen * (1 - (1 - met) ** trees)) for p, seen, met in cases) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -339,10 +375,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall:
     """(v, label): components of the classes that have links."""
     similarity = percent / 100
     nodes = tree_nodes(classes, similarity, recall)
-    # 4.5 standard deviations below the agreement expected at the threshold
-    agree = similarity + (1 - similarity) / 256
-    least = int(POSITIONS * agree - 4.5 * math.sqrt(POSITIONS * agree * (1 - agree)))
-    partners = cut_lineage(_first_partners(nodes, classes, least))
+    partners = cut_lineage(_first_partners(nodes, classes, least_for(recall, similarity)))
     large = nodes.where(F.col("n") > SMALL_NODE)
     wanted = partners.select(F.explode(F.array("a", "b")).alias("cid")).union(large.select("cid")).distinct()
     wanted = cut_lineage(classes.select("cid", "set_key", "rep").join(wanted, "cid", "left_semi"))

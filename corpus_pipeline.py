@@ -19,10 +19,18 @@ def _same_id(docs, ids):
     return docs["doc_id"].eqNullSafe(ids["_id"])
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids`` (column doc_id)."""
-    gone = small_or_shuffled(cut_lineage(ids.select(F.col("doc_id").alias("_id")).distinct()))
-    return docs.join(gone, _same_id(docs, gone), "left_anti")
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key per row (_key): the id, or a row number written once if ids repeat."""
+    twice = docs.groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    return cut_lineage(docs.withColumn("_key", F.monotonically_increasing_id()))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose _key is not among ``keys`` (column doc_id), without the key."""
+    gone = small_or_shuffled(cut_lineage(keys.select(F.col("doc_id").alias("_gone")).distinct()))
+    return docs.join(gone, docs["_key"].eqNullSafe(gone["_gone"]), "left_anti").drop("_key")
 
 
 def _one_row_each(docs: DataFrame) -> DataFrame:
@@ -45,7 +53,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is one of the learned: texts without a letter go, and
     those of which less than MIN_SCORE is usual in any language."""
     model = langid.train(docs.select("lang", "text"))
-    found = langid.predict(docs, model)
+    docs = _with_key(docs)
+    found = langid.predict(docs, model, id_col="_key")
     return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SCORE)))
 
 
@@ -57,7 +66,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # an id may name texts that stay and texts that go
     twice = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if twice.isEmpty():
-        return _without(docs, dropped)
+        return _without(docs.withColumn("_key", F.col("doc_id")), dropped)
     some = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
     gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     gone = small_or_shuffled(gone)
@@ -66,14 +75,26 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates: five-word
-    shingles, similarity 0.8."""
-    found = near_dedup.near_dedup(docs)
-    return _without(docs, found.where("not kept"))
+    shingles, similarity 0.8.  A null id is the largest; of rows with the same id one stays."""
+    docs = _with_key(docs)
+    found = near_dedup.near_dedup(docs, id_col="_key")
+    groups = cut_lineage(found.select(F.col("doc_id").alias("_key"), "component_id"))
+    # only groups of several rows meet again, with the ids that decide
+    several = cut_lineage(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
+    rows = groups.where(F.col("component_id").isNotNull()).join(several, "component_id")
+    ids = docs.select(F.col("_key").alias("_own"), "doc_id")
+    rows = cut_lineage(rows.join(ids, F.col("_key").eqNullSafe(F.col("_own"))).drop("_own"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = rows.groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", "first._key")
+    kept = first.select(F.col("component_id").alias("_group"), F.col("_key").alias("_kept"))
+    gone = rows.join(kept, (F.col("component_id") == F.col("_group")) & F.col("_key").eqNullSafe(F.col("_kept")), "left_anti")
+    return _without(docs, gone.select(F.col("_key").alias("doc_id")))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    docs = _with_key(docs)
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id_col="_key"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

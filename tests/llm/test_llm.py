@@ -502,6 +502,36 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["2", "3", "5", "None", "8", "9", "10", "11"])
 
 
+def test_stages_decide_on_rows_not_on_ids(spark, real):
+    """Null and repeated ids over clean and rejected texts, in every stage that drops."""
+    def text(seed, n=60, end=""):
+        rng = np.random.default_rng(seed)
+        return " ".join(rng.choice(WORDS, n)) + " " + str(seed) + " words of their own" + end
+
+    def after(stage, given):
+        got = corpus_pipeline.cut_lineage(stage(spark, documents(spark, given), SF))
+        assert got.columns == documents(spark, []).columns
+        return sorted((str(r["doc_id"]), r["text"]) for r in got.collect())
+
+    def want(*kept):
+        return sorted((str(i), t) for i, t in kept)
+
+    clean = [(None, text(1)), (None, text(2)), (7, text(3)), (8, text(4))]
+    leak = max((r["text"] for r in real["benchmark"].collect()), key=len)
+    assert after(corpus_pipeline.language, clean + [(None, "12 34 !"), (7, "5 6"), (9, "7")]) == want(*clean)
+    assert after(corpus_pipeline.exact_duplicates, clean + [(None, text(3).upper()), (7, text(4))]) == want(*clean)
+    assert after(corpus_pipeline.benchmark_leaks, clean + [(None, leak), (7, leak), (9, leak)]) == want(*clean)
+    # ids: the smallest, a null one only if there is no other; 8 stays beside its near copy under 9
+    near = [(None, text(3, end=" x")), (9, text(4, end=" x")), (7, text(5)), (7, text(5, end=" x")), (9, text(6))]
+    got = after(corpus_pipeline.near_duplicates, clean + near)
+    fives = [x for x in got if x[1].startswith(text(5))]
+    assert len(fives) == 1 and sorted(set(got) - set(fives)) == want(*clean, (9, text(6)))
+    nulls = after(corpus_pipeline.near_duplicates, [(None, text(1)), (None, text(1, end=" x")), (None, text(2))])
+    assert len(nulls) == 2 and ("None", text(2)) in nulls
+    one = [(None, text(1)), (5, text(1, end=" x")), (6, text(2)), (4, text(2, end=" x")), (3, "")]
+    assert after(corpus_pipeline.near_duplicates, one) == want(one[1], one[3], one[4])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     import duckdb

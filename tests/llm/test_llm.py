@@ -379,6 +379,16 @@ def test_disclosing_terms(spark):
     assert "Zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[3][1]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """Every occurrence is marked, however far from the entity."""
+    far = " and the stores and tents were counted about noon" * 6
+    texts = [(i, f"Wrote <zed@corp.example> to us{far}; then ZORBLATT left, day {i}. Zorblatt") for i in range(3)]
+    texts += [(10 + i, f"The stores and tents were counted about noon, day {i} and wrote nobody; then left.") for i in range(60)]
+    found = {r["doc_id"]: r["s"] for r in pii.find_personal_data(documents(spark, texts)).withColumn("s", pii.written("spans")).collect()}
+    said = [texts[0][1][int(s.split(":")[1]):int(s.split(":")[2])] for s in found[0].split(",")]
+    assert sorted(said) == ["ZORBLATT", "Zorblatt", "zed@corp.example"] and not found[10]
+
+
 def test_entropy_spans(spark):
     docs = documents(spark, [(0, TRICKY[-1]), (1, "a plain sentence with averyveryverylongwordwithoutdigits in it"),
                              (2, "id aaaaaaaaaaaaaaaaaaaaaaaaa1A ")])

@@ -389,6 +389,19 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert sorted(said) == ["ZORBLATT", "Zorblatt", "zed@corp.example"] and not found[10]
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    """Every occurrence, however far away, of an entity in a single document; copies are no evidence."""
+    far = " and the stores and tents were counted about noon" * 6
+    texts = [(0, f"Zorblatt <zed@corp.example> wrote{far}; then ZORBLATT left." + " Zorblatt" * 2)]
+    texts += [(10 + i, f"The stores and tents were counted about noon, day {i} and wrote nobody; then left.") for i in range(60)]
+    texts += [(100 + i, "The clerk wrote to ann@corp.example; stores were counted.") for i in range(50)]
+    texts += [(200 + i, f"The clerk counted the tents at noon, day {i}.") for i in range(30)]
+    found = {r["doc_id"]: r["s"] for r in pii.find_personal_data(documents(spark, texts)).withColumn("s", pii.written("spans")).collect()}
+    said = [texts[0][1][int(s.split(":")[1]):int(s.split(":")[2])] for s in found[0].split(",")]
+    assert sorted(said) == ["ZORBLATT"] + ["Zorblatt"] * 3 + ["zed@corp.example"]
+    assert {found[100 + i] for i in range(50)} == {"email:19:35"} and not found[10] and not found[200]
+
+
 def test_entropy_spans(spark):
     docs = documents(spark, [(0, TRICKY[-1]), (1, "a plain sentence with averyveryverylongwordwithoutdigits in it"),
                              (2, "id aaaaaaaaaaaaaaaaaaaaaaaaa1A ")])

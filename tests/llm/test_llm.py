@@ -410,6 +410,22 @@ def test_entropy_spans(spark):
     assert kinds == ["entropy_mixed", "entropy_hex"] and not found[1] and not found[2]
 
 
+def test_keys_of_every_class(spark):
+    keys = {"entropy_lower": "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "entropy_upper": "JBSWY3DPEHPK3PXPQ4TZ6W2NRA5VKM7C",
+            "entropy_upper_hex": "9F8E7D6C5B4A39281706F5E4", "entropy_letters": "qTzRbWmXkLpVfHsNcJgD",
+            "entropy_hex": "9f8e7d6c5b4a39281706f5e4", "entropy_mixed": "3fA9xQ7Lm2ZpR8sT4vWy1B"}
+    words = ["getElementForIdentifierName", "Either/Or-Something-Else", "MAXIMUM_ALLOCATION_SIZE_2048", "some-article-about-things-2024",
+             "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaa1", "AAAAAAAAAAAAAAAAAAAAaaaa"]
+    docs = documents(spark, [(i, f"the {x} here") for i, x in enumerate([*keys.values(), *words])])
+    found = {r["doc_id"]: r["s"] for r in secrets.find_secrets(docs).withColumn("s", secrets.written("spans")).collect()}
+    assert [found[i].split(":")[0] for i in range(len(keys))] == [*keys] and not any(found[len(keys) + i] for i in range(len(words)))
+    rng = np.random.default_rng(4)
+    alphabets = ("0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", secrets.MIXED[:64])
+    many = ["".join(rng.choice(list(a), 24)) for a in alphabets for _ in range(200)]
+    got = secrets.find_secrets(documents(spark, list(enumerate(many)))).where(F.size("spans") > 0).count()
+    assert got >= 0.98 * len(many)
+
+
 def test_entropy_by_recount(spark):
     def entropy(w):
         return -sum(c / len(w) * np.log2(c / len(w)) for c in collections.Counter(w).values())

@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and strings of high entropy.
 
-Candidate strings are runs of key-like characters that mix character classes.  A window
-slides over each; the counts of its characters, and from them Shannon's entropy, are
-updated by the character that enters and the one that leaves.  Candidates on the
-allow-list are suppressed.
+Candidate strings are runs of key-like characters, and the parts between their
+separators.  A window slides over each; the counts of its characters, and from them
+Shannon's entropy, are updated by the character that enters and the one that leaves.
+Every character class has a threshold of its own.  Strings on the allow-list are
+suppressed.
 """
 
 import math
@@ -16,18 +17,26 @@ from vitrine.llm.spans import NO_SPANS, count_of, find, matches, overlaps, writt
 WINDOW = 16
 MIN_LENGTH = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
+PART = rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{MIN_LENGTH},}}+"
 HEX = "0123456789abcdef"
 MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Character classes: name, test of the whole candidate, alphabet, least entropy of a window in bits.
+#: Character classes, no string is of two: name, whether it is one of parts, test of the
+#: whole string, alphabet, least entropy of a window in bits.
 CLASSES = (
-    ("entropy_hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", HEX, 2.8),
-    ("entropy_mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", MIXED, 3.2),
+    ("entropy_hex", True, r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", HEX, 2.8),
+    ("entropy_mixed", False, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", MIXED, 3.2),
+    ("entropy_upper_hex", True, r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", HEX.upper(), 2.8),
+    ("entropy_lower", True, r"^(?=.*[0-9])(?=.*[g-z])[0-9a-z]+$", MIXED[26:62], 3.2),
+    ("entropy_upper", True, r"^(?=.*[0-9])(?=.*[G-Z])[0-9A-Z]+$", MIXED[:26] + MIXED[52:62], 3.1),
+    ("entropy_letters", False, r"^(?=.*[a-z])(?=.*[A-Z])[^0-9]+$", MIXED, 3.4),
 )
-#: Candidates that match one of these are no secrets.
+_WORD = "(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]{1,5}+)"
+#: Strings that match one of these are no secrets.
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",  # words with a number at the end
+    rf"^[-_/=]*{_WORD}(?:[-_/]+{_WORD})*+[-_/=]*[0-9]{{0,4}}$",  # words, with a number at the end
+    r"^[A-Z]+(?:[-_/][A-Z]+)*[-_/]?[0-9]{1,4}$",
 )
 
 # The patterns of the contract; `drop failing matches` is done by `valid`.
@@ -80,20 +89,21 @@ def _candidate_spans(text: Column, base: Column, allowed) -> Column:
             bad = bad | m["value"].rlike(pattern)
         return ~bad & ~overlaps(m, base)
 
-    found = F.filter(matches(text, CANDIDATE), fine)
-    is_hex = CLASSES[0][1]
-
-    def of_class(rank, name, test, alphabet, least):
-        # a hexadecimal string is of that class only
-        own = F.filter(found, lambda m: m["value"].rlike(test) & (~m["value"].rlike(is_hex) if rank else F.lit(True)))
+    def of_class(found, rank, name, test, alphabet, least):
+        own = F.filter(found, lambda m: m["value"].rlike(test))
         hot = F.transform(own, lambda m: F.struct(m["start"].alias("at"), hot_range(m["value"], alphabet, least).alias("r")))
         return F.transform(F.filter(hot, lambda h: h["r"]["lo"] >= 0), lambda h: F.struct(
             (h["at"] + h["r"]["lo"]).alias("start"), F.lit(len(KINDS) + rank).alias("rank"), F.lit(name).alias("kind"),
             (h["at"] + h["r"]["hi"]).alias("end"), F.lit("").alias("value")))
 
-    spans = [of_class(rank, *c) for rank, c in enumerate(CLASSES)]
-    some = text.rlike(CANDIDATE)
-    return F.when(some, F.concat(*spans)).otherwise(F.array().cast(NO_SPANS))
+    def spans(pattern, of_parts):
+        found = F.filter(matches(text, pattern), fine)
+        return F.concat(*[of_class(found, rank, name, *more) for rank, (name, part, *more) in enumerate(CLASSES) if part == of_parts])
+
+    # a part that the span of its whole string touches is told already
+    both = F.transform(F.array(F.struct(spans(CANDIDATE, False).alias("a"), spans(PART, True).alias("b"))), lambda x: F.concat(
+        x["a"], F.filter(x["b"], lambda s: ~overlaps(s, x["a"]))))
+    return F.when(text.rlike(CANDIDATE), F.flatten(both)).otherwise(F.array().cast(NO_SPANS))
 
 
 def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", allowed=ALLOWED) -> DataFrame:

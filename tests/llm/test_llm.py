@@ -426,6 +426,18 @@ def test_keys_of_every_class(spark):
     assert got >= 0.98 * len(many)
 
 
+def test_what_stands_beside_a_key_does_not_hide_it(spark):
+    key = "3fA9xQ7Lm2ZpR8sT4vWy1B"
+    for_hex = "0123456789abcdef" * 2
+    texts = [f"/samples/keys/{key}", f"{for_hex}/{key}", f"{key}/{for_hex}", f"dummy-{key}-example", f"https://x.org/a/sample/{key}=", f"/keys/{key}xxxx"]
+    found = {r["doc_id"]: r for r in secrets.find_secrets(documents(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts[:5]):
+        at = t.index(key)
+        hot = [s for s in found[i]["spans"] if s["kind"] == "entropy_mixed"]
+        assert len(hot) == 1 and hot[0]["start"] <= at + 2 and hot[0]["end"] >= at + len(key) - 2
+    assert not found[5]["spans"]
+
+
 def test_entropy_by_recount(spark):
     def entropy(w):
         return -sum(c / len(w) * np.log2(c / len(w)) for c in collections.Counter(w).values())

@@ -82,12 +82,40 @@ def hot_range(value: Column, alphabet: str, least: float, window=WINDOW) -> Colu
     return F.aggregate(steps, begin, slide, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces where ``spans`` (sorted by their start) stand."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc, s):
+        start = F.greatest(acc["at"], s["start"])
+        kept = F.substring(text, acc["at"] + 1, start - acc["at"])
+        step = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, F.repeat(F.lit(" "), s["end"] - start))).alias("out"))
+        return F.when(s["end"] > acc["at"], step).otherwise(acc)
+
+    return F.aggregate(spans, begin, add, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _parts_with(text: Column, pattern: str) -> Column:
+    """The parts between separators in which ``pattern`` begins."""
+    found = matches(text, rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*?(?:{pattern}))[A-Za-z0-9]++")
+    part = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return F.when(text.rlike(pattern), part).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
 def _candidate_spans(text: Column, base: Column, allowed) -> Column:
+    """Base spans and allowed parts are cut out of the text, what is left of a candidate is
+    scanned.  Patterns of ``allowed`` that begin with ^ are tested on whole strings."""
+    whole = [p for p in allowed if p.startswith("^")]
+    cut = [_parts_with(text, p) for p in allowed if not p.startswith("^")]
+    ends = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rest = _blanked(text, F.array_sort(F.concat(ends, *cut)))
+
     def fine(m):
         bad = F.lit(False)
-        for pattern in allowed:
+        for pattern in whole:
             bad = bad | m["value"].rlike(pattern)
-        return ~bad & ~overlaps(m, base)
+        return ~bad
 
     def of_class(found, rank, name, test, alphabet, least):
         own = F.filter(found, lambda m: m["value"].rlike(test))
@@ -97,7 +125,7 @@ def _candidate_spans(text: Column, base: Column, allowed) -> Column:
             (h["at"] + h["r"]["hi"]).alias("end"), F.lit("").alias("value")))
 
     def spans(pattern, of_parts):
-        found = F.filter(matches(text, pattern), fine)
+        found = F.filter(matches(rest, pattern), fine)
         return F.concat(*[of_class(found, rank, name, *more) for rank, (name, part, *more) in enumerate(CLASSES) if part == of_parts])
 
     # a part that the span of its whole string touches is told already

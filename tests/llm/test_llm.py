@@ -165,6 +165,27 @@ def test_exact_dedup(odd, digest_hex, share):
     check_exact(rows(exact_dedup.exact_dedup(odd, digest_hex=digest_hex, snapshot_share=share, shard_keys=4)), ODD)
 
 
+def test_large_batch_against_a_small_snapshot(spark, monkeypatch, tmp_path):
+    """No task screens much more of the batch than a filter holds."""
+    docs = documents(spark, [(i, f"text {i % 900}") for i in range(1000)])
+    made = exact_dedup.digests(docs)
+    log, probe = str(tmp_path / "sizes"), exact_dedup._probe
+
+    def noted(key, batch, filters):
+        with open(log, "a") as f:
+            f.write(f"{len(batch)}\n")
+        return probe(key, batch, filters)
+
+    monkeypatch.setattr(exact_dedup, "_probe", noted)
+    for n, standing in enumerate((made.where("doc_id < 20"), made.where("false"))):
+        snapshot = exact_dedup.publish(standing, str(tmp_path / f"snapshot{n}"), 50)
+        hit = {r["digest"] for r in exact_dedup.screen(exact_dedup.grouped(made), snapshot).where("maybe").collect()}
+        assert {r["digest"] for r in standing.collect()} <= hit and len(hit) < 60
+    sizes = [int(x) for x in open(log)]
+    assert sum(sizes) >= 1800 and max(sizes) < 120
+    assert rows(exact_dedup.exact_dedup(docs, snapshot_share=0, shard_keys=50)) and exact_dedup.exact_dedup(docs, snapshot_share=0).where("kept").count() == 900
+
+
 def test_exact_dedup_of_nothing(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 

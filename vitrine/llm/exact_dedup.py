@@ -129,6 +129,7 @@ class Snapshot:
     groups: DataFrame
     filters: DataFrame
     shards: int
+    shard_keys: int = SHARD_KEYS
 
 
 def _build(key, pdf):
@@ -147,7 +148,7 @@ def publish(rows: DataFrame, path: str, shard_keys=SHARD_KEYS) -> Snapshot:
     keyed.groupBy("shard").applyInPandas(
         _build, "shard int, seed int, segment int, segments int, prints binary"
     ).write.parquet(f"{path}/filters")
-    return Snapshot(groups, spark.read.parquet(f"{path}/filters"), shards)
+    return Snapshot(groups, spark.read.parquet(f"{path}/filters"), shards, shard_keys)
 
 
 def _probe(key, batch, filters):
@@ -161,10 +162,15 @@ def _probe(key, batch, filters):
 def screen(batch_groups: DataFrame, snapshot: Snapshot) -> DataFrame:
     """(digest, maybe): which distinct digests of a batch may be in the snapshot.
 
-    A task gets one filter and the batch's digests of the same shard, as even as hashes are.
+    A task gets one filter and digests of the batch of the same shard, about as many as
+    a filter has: a batch larger than the snapshot is split by salts, to each of which
+    the filter is copied.
     """
-    keyed = batch_groups.select("digest", _key("digest"), _shard("digest", snapshot.shards))
-    return keyed.groupBy("shard").cogroup(snapshot.filters.groupBy("shard")).applyInPandas(
+    salts = max(1, -(-batch_groups.count() // (snapshot.shards * snapshot.shard_keys)))
+    salt = F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(salts)).cast("int").alias("salt")
+    keyed = batch_groups.select("digest", _key("digest"), _shard("digest", snapshot.shards), salt)
+    filters = snapshot.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return keyed.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(
         _probe, "digest string, maybe boolean")
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from vitrine.llm import (
-    bfd_packing, chat, decontaminate, exact_dedup, langid, near_dedup, online_packing, pii, quality, secrets,
+    bfd_packing, chat, collocations, decontaminate, exact_dedup, langid, near_dedup, online_packing, pii, piece_bpe,
+    quality, secrets, variants,
 )
 from vitrine.llm.common import table
 from vitrine.sources.shared import new_path
@@ -61,9 +62,22 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_byte_bpe(spark, sf_dir):
+    return piece_bpe.digest(piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return variants.group_variants(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_pii, op3_token_matrices, op4_language_id, op5_secrets, op6_chat_format,
-    op7_quality, op8_exact_dedup, op9_online_packing, op10_minhash_near_dedup,
+    op7_quality, op8_exact_dedup, op9_online_packing, op10_minhash_near_dedup, op11_byte_bpe, op12_collocations,
+    op13_spelling_variants,
 )}
 ORACLES = {
     "op6_chat_format": r"""
@@ -88,4 +102,39 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (
+            SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+            UNION ALL SELECT lang, 2, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM w
+            UNION ALL SELECT lang, 3, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)])
+            FROM w),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+        cuts AS (
+            SELECT *, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+            FROM c, (VALUES (1), (2)) v(cut) WHERE cut < k),
+        scored AS (
+            SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, x.a AS l, y.a AS r, cut,
+                   (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+        best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inside AS (
+            SELECT lang, part, max(a) AS longer
+            FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3)
+            GROUP BY ALL),
+        left_over AS (
+            SELECT best.* FROM best LEFT JOIN inside i ON i.lang = best.lang AND i.part = best.phrase
+            WHERE longer IS NULL OR 100 * longer < 50 * a),
+        total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+               CAST(score AS BIGINT) AS score
+        FROM left_over JOIN total USING (lang)
+        QUALIFY rank <= 2000""",
 }

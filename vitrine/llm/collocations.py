@@ -427,7 +427,6 @@ def collocations(docs: DataFrame, min_count=MIN_COUNT, per_lang=PER_LANG, longer
     word = lambda i, *more: known.select(
         F.col("id").alias(f"w{i}"), F.col("word").alias(f"word{i}"), F.col("n").alias(f"f{i}"), *more)
     pair = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    spread = ("w1", "w2", "w3")
     pairs, three = phrases.where("w3 = 0"), phrases.where("w3 <> 0")
     count_of = lambda key, name: pairs.select(pair("w1", "w2").alias(key), F.col("a").alias(name))
 
@@ -435,14 +434,15 @@ def collocations(docs: DataFrame, min_count=MIN_COUNT, per_lang=PER_LANG, longer
     inside = inside.groupBy("p.x", "p.y").agg(F.max("a").alias("longer"))
     two = pairs.join(inside.select(F.col("x").alias("w1"), F.col("y").alias("w2"), "longer"), ["w1", "w2"], "left")
     two = two.where(F.col("longer").isNull() | (100 * F.col("longer") < longer_percent * F.col("a"))).drop("longer")
-    two = gather(gather(two, word(1, "lang"), "w1", spread=spread), word(2), "w2", spread=spread)
+    look_up = lambda rows, table, key, census: gather(rows, table, key, spread=("w1", "w2", "w3"), census=census)
+    two = look_up(look_up(two, word(1, "lang"), "w1", pairs), word(2), "w2", pairs)
     two = two.select("lang", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"))
 
     three = three.withColumns({"head": pair("w1", "w2"), "tail": pair("w2", "w3")})
-    three = gather(gather(three, count_of("head", "f_head"), "head", spread=spread),
-                   count_of("tail", "f_tail"), "tail", spread=spread).drop("head", "tail")
-    three = gather(gather(three, word(1, "lang"), "w1", spread=spread), word(3), "w3", spread=spread)
-    three = gather(three, word(2), "w2", spread=spread)
+    read = three
+    for key, table in {"head": count_of("head", "f_head"), "tail": count_of("tail", "f_tail"),
+                       "w1": word(1, "lang"), "w2": word(2), "w3": word(3)}.items():
+        three = look_up(three, table, key, read)
     after_two = score(F.col("a"), F.col("f_head"), F.col("f3")) < score(F.col("a"), F.col("f1"), F.col("f_tail"))
     three = three.select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a",
                          F.when(after_two, F.col("f_head")).otherwise(F.col("f1")).alias("l"),

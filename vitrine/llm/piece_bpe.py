@@ -15,6 +15,7 @@ import base64
 import struct
 from array import array
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -148,30 +149,31 @@ class Codec(dict):
         self.plain = regex.compile(public_tokenizers.PATTERN).finditer
         pattern, self.first = split_pattern(public_tokenizers.PATTERN)
         self.exact = regex.compile(pattern, regex.V1).finditer
-        self.bytes_of = {self.ranks[i]: as_bytes(self.model.id_to_piece(i)) for i in range(len(tokens))}
+        self.bytes_of = np.full(max(self.ranks) + 2, b"", object)
+        for i, rank in enumerate(self.ranks):
+            self.bytes_of[rank] = as_bytes(self.model.id_to_piece(i))
 
-    def __missing__(self, token: str) -> array:
+    def __missing__(self, token: str) -> bytes:
         data = token.encode()
         whole = self.entries.get(data)
         found = [whole] if whole is not None else self.model.encode(as_points(data))
         if whole is None and not self.dense:
             found = [self.ranks[i] for i in found]
-        found = array("i", found)
+        found = array("i", found).tobytes()
         if len(token) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[token] = found
         return found
 
-    def ids(self, text: str) -> array:
-        out = array("i")
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers in a row."""
         split = self.plain if text.isascii() or max(text) < self.first else self.exact
-        for match in split(text):
-            out += self[match[0]]
-        return out
+        return b"".join(map(self.__getitem__, map(itemgetter(0), split(text))))
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of.get(i, b"") for i in ids])
+    def pieces(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of each id; none for ids that aren't in the vocabulary."""
+        return self.bytes_of[np.where((ids >= 0) & (ids < len(self.bytes_of) - 1), ids, -1)]
 
 
 @lru_cache(maxsize=2)
@@ -186,11 +188,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col="doc_id", text_
     def run(batches):
         code = codec(vocabulary)
         for batch in batches:
-            flat, ends = array("i"), [0]
-            for text in batch.column("text"):
-                flat += code.ids(text.as_py())
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            found = [code.ids(text.as_py()) for text in batch.column("text")]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -207,7 +207,10 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         code = codec(vocabulary)
         for batch in batches:
-            back = pa.array([code.decode(ids.as_py() or ()) for ids in batch.column("ids")], pa.binary())
+            ids = batch.column("ids")
+            pieces = code.pieces(ids.flatten().fill_null(-1).to_numpy()).tolist()
+            ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+            back = pa.array([b"".join(pieces[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), back], names=["doc_id", "ids", "decoded"])
 

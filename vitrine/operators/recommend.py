@@ -2,19 +2,25 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions.ranking import global_row_number
+from vitrine.functions.vectors import squared_norm
 from vitrine.schema import FIRST_REAL
+from vitrine.sources.shared import cut_lineage
 
-QUERY = ("draw", "row_idx", "t")
+# Users and items one multiplication takes: bounds the table of rough scores.
+MAX_USERS, MAX_ITEMS = 1024, 4096
+# The first items a user meets come in pieces that double from this size: they set the
+# score that later ones must reach.
+FIRST_ITEMS = 256
+# Bytes of item blocks that are sent to the executors at a time.
+ROUND_BYTES = 64 << 20
+# Relative error granted to rough scores and bounds before exact scores decide.
+SLACK = 1e-9
 
-# Sizes of the blocks one task multiplies.  Users beyond MAX_USERS or items
-# beyond MAX_ITEMS go to further blocks; small inputs are cut finer, down to
-# MIN_USERS, to occupy the cluster.
-MAX_USERS, MIN_USERS = 65_536, 512
-MAX_ITEMS = 131_072
-TILE_BYTES = 32 << 20
+_NONE = np.iinfo(np.int32).max  # an open place in a list; larger than any id
 
 
 def _matrix(column):
@@ -30,130 +36,211 @@ def _ordered_sum(n, dim, term):
     return out
 
 
-def _exact(dist, x, r, y, c):
-    """Scores of the pairs (x[r], y[c]); equal vectors give equal scores."""
-    dim = x.shape[1]
-    dot = _ordered_sum(len(r), dim, lambda j: x[r, j] * y[c, j])
-    if dist == "dot":
-        return dot
-    xx = _ordered_sum(len(x), dim, lambda j: x[:, j] * x[:, j])
-    yy = _ordered_sum(len(y), dim, lambda j: y[:, j] * y[:, j])
-    return -np.sqrt(np.maximum(xx[r] - 2.0 * dot + yy[c], 1e-10))
-
-
-def _block_kernel(k, dist):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks()
-        names = [*QUERY, "item_id", "score"]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], t) for t in types], names=names)
-        keys = [left.column(c).to_numpy() for c in QUERY]
-        x = _matrix(left.column("vec").combine_chunks())
-        ids = right.column("item_id").to_numpy()
-        y = _matrix(right.column("vec").combine_chunks())
-        half = 0.5 * (y * y).sum(1) if dist == "l2" else None
-        rows, cols, vals = [], [], []
-        tile = max(1, TILE_BYTES // (8 * len(ids)))
-        for start in range(0, len(x), tile):
-            part = x[start:start + tile]
-            # monotone in the score; rounding differs from the exact sum
-            rough = part @ y.T
-            if half is not None:
-                rough -= half
-            if len(ids) > k:
-                kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-                slack = 1e-9 * (1.0 + np.abs(rough).max(axis=1))
-                r, c = np.nonzero(rough >= (kth - slack)[:, None])
-            else:
-                r, c = np.nonzero(np.ones_like(rough, dtype=bool))
-            s = _exact(dist, part, r, y, c)
-            order = np.lexsort((ids[c], -s, r))
-            r, c, s = r[order], c[order], s[order]
-            first = np.searchsorted(r, r, side="left")
-            keep = np.arange(len(r)) - first < k
-            rows.append(r[keep] + start)
-            cols.append(c[keep])
-            vals.append(s[keep])
-        r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-        out = [key[r] for key in keys] + [ids[c], s]
-        return pa.table([pa.array(a, t) for a, t in zip(out, types)], names=names)
+def _square(x):
+    return _ordered_sum(len(x), x.shape[1], lambda j: x[:, j] * x[:, j])
+
+
+def pack_items(items, block_items=MAX_ITEMS) -> DataFrame:
+    """(block, bytes, ids, vecs): items (item_id, vec) in binary blocks, longest vectors first.
+
+    A block holds neighbours in the order of norms, so the range of its norms is narrow;
+    block numbers follow that order.  Items without a vector are left out.
+    """
+    known = items.where(F.col("vec").isNotNull()).select("item_id", "vec", squared_norm("vec").alias("_norm"))
+    order = [F.desc("_norm"), F.asc("item_id")]
+    ordered = known.repartitionByRange(*order).sortWithinPartitions(*order).select("item_id", "vec")
+
+    def run(batches):
+        first, number, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def block(rows):
+            nonlocal number
+            rows = rows.combine_chunks()
+            ids = rows.column("item_id").to_numpy().astype("<i4").tobytes()
+            vecs = _matrix(rows.column("vec").combine_chunks()).astype("<f8").tobytes()
+            number += 1
+            columns = [pa.array([first + number], pa.int64()), pa.array([len(ids) + len(vecs)], pa.int64()),
+                       pa.array([ids], pa.binary()), pa.array([vecs], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "bytes", "ids", "vecs"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= block_items:
+                rows = pa.Table.from_batches(held)
+                while len(rows) >= block_items:
+                    yield block(rows.slice(0, block_items))
+                    rows = rows.slice(block_items)
+                held = rows.to_batches()
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return ordered.mapInArrow(run, "block bigint, bytes bigint, ids binary, vecs binary")
+
+
+class _Block:
+    """Items of one block: ids, and per draw their vectors, norms and bounds."""
+
+    def __init__(self, ids, vecs, draws, dist):
+        self.ids = ids
+        y = vecs.reshape(len(ids), draws, -1)
+        self.y = [np.ascontiguousarray(y[:, d]) for d in range(draws)]
+        self.yy = [_square(v) for v in self.y]
+        norms = [np.sqrt(s) for s in self.yy]
+        self.low, self.high = [n.min() for n in norms], [n.max() for n in norms]
+        self.dist = dist
+
+    def bound(self, d, norm):
+        """No item of the block scores more for a user vector of this norm."""
+        if self.dist == "dot":
+            return norm * self.high[d]  # Cauchy-Schwarz
+        return -np.maximum(0.0, np.maximum(self.low[d] - norm, norm - self.high[d]))  # triangle
+
+    def merge(self, d, x, xx, norm, best, k):
+        """Let the block's items compete for the lists ``best`` (scores, ids); the number of users they can't concern."""
+        scores, ids = best
+        bound = self.bound(d, norm)
+        kth = scores[:, -1]
+        rows = np.flatnonzero(bound + SLACK * (1.0 + np.abs(bound)) >= kth)
+        skipped = len(x) - len(rows)
+        if not len(rows):
+            return skipped
+        if skipped:
+            x, xx, norm, kth = x[rows], xx[rows], norm[rows], kth[rows]
+        y, m = self.y[d], len(self.ids)
+        rough = x @ y.T
+        reach = kth
+        if self.dist == "l2":  # rough is monotone in the score: (|x|^2 - distance^2) / 2
+            rough -= 0.5 * self.yy[d]
+            reach = 0.5 * (xx - kth * kth)
+        if m > k and np.isinf(kth).any():
+            reach = np.maximum(reach, np.partition(rough, m - k, axis=1)[:, m - k])
+        reach = reach - SLACK * (1.0 + norm * self.high[d] + self.high[d] ** 2 + (xx if self.dist == "l2" else 0.0))
+        at = np.flatnonzero(rough >= reach[:, None])
+        r, c = at // m, at % m
+        s = _ordered_sum(len(r), x.shape[1], lambda j: x[r, j] * y[c, j])
+        if self.dist == "l2":
+            s = -np.sqrt(np.maximum(xx[r] - 2.0 * s + self.yy[d][c], 1e-10))
+        found = np.unique(r)
+        if not len(found):
+            return skipped
+        mine = rows[found]
+        who = np.concatenate([np.repeat(found, k), r])
+        every = np.concatenate([scores[mine].ravel(), s])
+        names = np.concatenate([ids[mine].ravel(), self.ids[c]])
+        order = np.lexsort((names, -every, who))
+        who = who[order]
+        keep = order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+        scores[mine], ids[mine] = every[keep].reshape(-1, k), names[keep].reshape(-1, k)
+        return skipped
+
+
+def _kernel(shared, k, dist, draws, opening, max_users, tally):
+    """Lists of the rows' best items, continued by the items of one round."""
+    def blocks(dim):
+        out, size, seen = [], FIRST_ITEMS, 0
+        for ids, vecs in shared.value:
+            ids, vecs = np.frombuffer(ids, "<i4"), np.frombuffer(vecs, "<f8").reshape(-1, dim)
+            at = 0
+            while at < len(ids):
+                end = min(len(ids), at + size) if opening else len(ids)
+                out.append(_Block(ids[at:end], vecs[at:end], draws, dist))
+                seen, at = seen + end - at, end
+                size = max(seen, FIRST_ITEMS)
+        return out
+
+    def run(batches):
+        items = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = _matrix(batch.column("vec"))
+            items = blocks(x.shape[1]) if items is None else items
+            x = x.reshape(n, draws, -1)
+            scores, ids = np.full((n, draws, k), -np.inf), np.full((n, draws, k), _NONE, np.int32)
+            before = batch.column("ids").flatten().to_numpy(zero_copy_only=False).reshape(n, draws, -1)
+            had = before.shape[2]
+            ids[:, :, :had] = before
+            scores[:, :, :had] = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(n, draws, -1)
+            pairs = skipped = 0
+            for d in range(draws):
+                for start in range(0, n, max_users):
+                    part = slice(start, start + max_users)
+                    mine = np.ascontiguousarray(x[part, d])
+                    xx = _square(mine)
+                    norm = np.sqrt(xx)
+                    best = scores[part, d], ids[part, d]
+                    middle = np.median(norm)
+                    for block in sorted(items, key=lambda b: -b.bound(d, middle)):
+                        skipped += block.merge(d, mine, xx, norm, best, k)
+                        pairs += len(mine)
+            if tally:
+                tally[0].add(pairs)
+                tally[1].add(skipped)
+            full = int((ids[0, 0] != _NONE).sum())  # the same in all lists: as many as there were items
+            offsets = pa.array(np.arange(n + 1) * (draws * full), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(a[:, :, :full]).ravel()))
+                     for a in (ids, scores)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists], names=batch.schema.names)
 
     return run
 
 
-def _block_counts(queries, items, max_users, max_items, tasks):
-    """Numbers of user and item blocks, as scalars of the two row counts.
+def _rounds(blocks, round_bytes):
+    """(first, last) block of each round of about ``round_bytes``; reads one short row per block."""
+    out, held = [], 0
+    for number, size in blocks.select("block", "bytes").orderBy("block").toLocalIterator():
+        if out and held + size <= round_bytes:
+            out[-1][1], held = number, held + size
+        else:
+            out.append([number, number])
+            held = size
+    return out
 
-    As few blocks as their largest sizes allow, but, as long as user blocks do
-    not get tiny, two pairs of blocks per task.
-    """
-    n, m = (df.agg(F.count("*")).scalar() for df in (queries, items))
-    item_blocks = F.greatest(F.ceil(m / max_items), F.lit(1))
-    wanted = F.least(F.ceil(n / MIN_USERS), F.ceil(F.lit(2.0 * tasks) / item_blocks))
-    user_blocks = F.greatest(F.ceil(n / max_users), wanted, F.lit(1))
-    return user_blocks.cast("int"), item_blocks.cast("int")
-
-
-def score_blocks(queries, items, k, dist="dot", max_users=MAX_USERS, max_items=MAX_ITEMS,
-                 sized_like=None):
-    """Best ``k`` items of every item block for every query row.
-
-    ``queries`` (draw, row_idx, t, vec), ``items`` (draw, item_id, vec).  Users
-    and items are cut into blocks of bounded size; every pair of blocks of the
-    same draw is one group, whose kernel returns at most ``k`` rows per user.
-    Blocks are replicated, single rows never meet one by one.  ``sized_like`` may
-    name a cheaper DataFrame with as many rows as ``queries``.
+
+def best_lists(queries, items, k, dist="dot", draws=1, max_users=MAX_USERS, max_items=MAX_ITEMS,
+               round_bytes=ROUND_BYTES, tally=None) -> DataFrame:
+    """``queries`` with ``ids`` and ``scores``: the ``k`` best items of every row, best first, equal ones by the smaller id.
+
+    ``queries`` (vec, …), ``items`` (item_id, vec); with several ``draws`` a vector is
+    that of all draws in a row, and so are the lists.  Items are packed once into blocks,
+    which go to every executor once, whatever the number of tasks, ``round_bytes`` at a
+    time; rows stay where they are, and carry their lists from round to round.  A block
+    is skipped for a user whom none of its items can concern by its range of norms.
+    ``tally`` may be a pair of accumulators: pairs of user and block, and those skipped.
     """
     spark = queries.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_users, n_items = _block_counts(
-        queries if sized_like is None else sized_like, items, max_users, max_items, tasks)
-    spread = F.xxhash64(*QUERY)
-    left = (
-        queries.select(*QUERY, "vec")
-        .withColumn("_nu", n_users).withColumn("_ni", n_items)
-        .withColumn("ub", F.pmod(spread, F.col("_nu")).cast("int"))
-        .withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)))
-        .drop("_nu", "_ni")
-    )
-    right = (
-        items.select("draw", "item_id", "vec")
-        .withColumn("_nu", n_users).withColumn("_ni", n_items)
-        .withColumn("ib", F.pmod(F.xxhash64("item_id"), F.col("_ni")).cast("int"))
-        .withColumn("ub", F.explode(F.sequence(F.lit(0), F.col("_nu") - 1)))
-        .drop("_nu", "_ni")
-    )
-    block = ["draw", "ub", "ib"]
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(
-        _block_kernel(k, dist), "draw int, row_idx bigint, t int, item_id int, score double")
-
-
-def _best(scored, k):
-    """(…, rank, score): best first, equal scores by the smaller id."""
-    order = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _catalogue(itemvec, reserved):
-    items = itemvec.select(F.col("id").cast("int").alias("item_id"), "vec",
-                           *(["draw"] if "draw" in itemvec.columns else []))
-    if "draw" not in itemvec.columns:
-        items = items.withColumn("draw", F.lit(0))
-    return items if reserved else items.where(F.col("item_id") >= FIRST_REAL)
-
-
-def topk_states(states, itemvec, k, dist="dot", reserved=False, **blocks) -> DataFrame:
+    empty = {"ids": F.array().cast("array<int>"), "scores": F.array().cast("array<double>")}
+    rows = queries.where(F.col("vec").isNotNull()).withColumns(empty)
+    blocks = cut_lineage(pack_items(items, max_items))
+    for i, (first, last) in enumerate(_rounds(blocks, round_bytes)):
+        rows = cut_lineage(rows) if i else rows
+        taken = blocks.where(F.col("block").between(first, last)).orderBy("block").select("ids", "vecs")
+        shared = spark.sparkContext.broadcast([(bytes(r[0]), bytes(r[1])) for r in taken.collect()])
+        rows = rows.mapInArrow(_kernel(shared, k, dist, draws, not i, max_users, tally), rows.schema)
+    return rows
+
+
+def topk_states(states, itemvec, k, dist="dot", reserved=False, draws=1, **blocks) -> DataFrame:
     """(draw, row_idx, t, item_id, score, rank) for every state row.
 
-    ``states`` needs row_idx and vec; t and draw default to 0.  ``reserved``
-    lets ids below the first real one compete.
+    ``states`` needs row_idx and vec; t defaults to 0.  Where it has ``last``, a state is that
+    of steps t to ``last``: it is ranked once and its list is repeated.  States without a
+    vector get no list.  ``reserved`` lets ids below the first real one compete.  With ``draws`` both sides hold the vectors of all draws in
+    one, one after the other.
     """
-    q = states.withColumns({c: F.lit(0) for c in ("draw", "t") if c not in states.columns})
-    q = q.select(F.col("draw").cast("int").alias("draw"), "row_idx",
-                 F.col("t").cast("int").alias("t"), "vec")
-    items = _catalogue(itemvec, reserved).withColumn("draw", F.col("draw").cast("int"))
-    return _best(score_blocks(q, items, k, dist, **blocks), k)
+    q = states if "t" in states.columns else states.withColumn("t", F.lit(0))
+    last = F.col("last" if "last" in q.columns else "t").cast("int")
+    q = q.select("row_idx", F.col("t").cast("int").alias("t"), last.alias("last"), "vec")
+    items = itemvec.select(F.col("id").cast("int").alias("item_id"), "vec")
+    items = items if reserved else items.where(F.col("item_id") >= FIRST_REAL)
+    listed = best_lists(q, items, k, dist, draws, **blocks)
+    steps = listed.withColumn("t", F.explode(F.sequence("t", "last")))
+    each = steps.select("row_idx", "t", (F.size("ids") / draws).cast("int").alias("_k"),
+                         F.posexplode(F.arrays_zip("ids", "scores")).alias("_p", "_s"))
+    return each.select(
+        F.expr("int(_p div _k)").alias("draw"), "row_idx", "t", F.col("_s.ids").alias("item_id"),
+        F.col("_s.scores").alias("score"), (F.col("_p") % F.col("_k") + 1).alias("rank"))
 
 
 def topk_items(uservec, itemvec, k, dist="dot", **blocks) -> DataFrame:
@@ -171,15 +258,19 @@ def topk_inslate_thompson(states, posterior, k, temp=1.0, seed=0, dist="dot") ->
     """(row_idx, item_id, rank) from ``k`` posterior draws per user.
 
     Each draw ranks its own top k; the lists are read rank by rank, all draws'
-    firsts first, and the first ``k`` distinct items are kept.
+    firsts first, and the first ``k`` distinct items are kept.  ``states`` (row_idx, vec)
+    are the same in every draw, or a function from the drawn items (id, vec) to states
+    that follow them; a vec there holds the vectors of all ``k`` draws one after the other.
+    Draws are made once per item; a user is one row with k states.
     """
-    from vitrine.operators.sampling import posterior_draw
-
-    draws = list(range(k))
-    items = posterior_draw(posterior, draws, temp, seed)
-    every = F.explode(F.array(*[F.lit(d) for d in draws]))
-    copies = states.withColumn("draw", every)
-    ranked = topk_states(copies, items, k, dist)
+    from vitrine.operators.sampling import posterior_draws
+
+    items = cut_lineage(posterior_draws(posterior, k, temp, seed))
+    if callable(states):
+        states = states(items)
+    else:
+        states = states.select("row_idx", F.flatten(F.array_repeat("vec", k)).alias("vec"))
+    ranked = topk_states(states, items, k, dist, draws=k)
     listed = ranked.groupBy("row_idx").agg(
         F.array_sort(F.collect_list(F.struct("rank", "draw", "item_id"))).alias("s"))
     final = F.slice(F.array_distinct(F.col("s.item_id")), 1, k)

@@ -7,7 +7,7 @@ from vitrine.functions.hashing import uniform
 from vitrine.functions.vectors import sum_vectors
 from vitrine.operators.sampling import sample_candidates
 from vitrine.operators.scoring import mf_candidates, with_candidate_probs
-from vitrine.sources.shared import cut_lineage
+from vitrine.sources.shared import cut_lineage, discard
 
 # Start range, and the optimiser's usual constants.
 INIT_RANGE = 0.05
@@ -88,7 +88,9 @@ def mf_fit(steps, users, item_ids, num_items: Column, dim=9, epochs=100, negativ
     lineage stays short and lost executors never replay earlier epochs.  An epoch
     goes over the train clicks once; its per-step pulls are cached for the two
     gradients and the train loglik, which is that of the parameters the epoch
-    started with.  The driver holds two numbers per epoch.
+    started with.  The driver holds two numbers per epoch.  Once an epoch is written, the
+    parameters it started from are deleted unless they are the best: there are never more than
+    three copies.
     """
     spark = users.sparkSession
     # ids only: epochs neither split the log nor read it again
@@ -103,13 +105,20 @@ def mf_fit(steps, users, item_ids, num_items: Column, dim=9, epochs=100, negativ
         pulls = mf_pulls(mf_rows(drawn, u, v), dim).persist(StorageLevel.MEMORY_AND_DISK)
         du, dv = mf_gradient(pulls, dim)
         train_ll = _sum_loglik(pulls)
+        before = (u, v)
         u, v = (cut_lineage(_adamw(p, g, epoch + 1, lr, 1.0)) for p, g in ((u, du), (v, dv)))
         pulls.unpersist()
         held = sample_candidates(valid_steps, num_items, negatives, seed, "valid", epoch)
         valid_ll = _sum_loglik(mf_rows(held, u, v))
         metrics.append((epoch, train_ll, valid_ll))
+        passed = [before]
         if best is None or valid_ll > best[0]:
+            passed += [best[1:]] if best and best[1] is not before[0] else []
             best = (valid_ll, u, v)
+        for tables in passed:  # the epoch is written, so nothing goes back to these
+            if tables[0] is not best[1]:
+                discard(tables[0])
+                discard(tables[1])
     table = spark.createDataFrame(
         metrics, "epoch int, train_loglik double, valid_loglik double")
     return best[1].select("id", "vec"), best[2].select("id", "vec"), table

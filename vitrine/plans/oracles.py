@@ -516,11 +516,8 @@ BODIES = {
       FROM step s JOIN (SELECT row_idx, t, pos AS p FROM slot) g ON g.row_idx = s.row_idx AND g.t = s.t
       CROSS JOIN widths GROUP BY s.user_id, s.t, s.click""",
     "random_recommender": f"""
-      SELECT user_id, {text('list(id ORDER BY j)')} AS recs FROM (
-        SELECT user_id, id, min(j) AS j, row_number() OVER (PARTITION BY user_id ORDER BY min(j)) AS k
-        FROM (SELECT user_id, g.j, 2 + {H('=rand', '=0', 'user_id', 'g.j')} % (n_items - 2) AS id
-              FROM users CROSS JOIN range(1, 97) g(j) CROSS JOIN widths) GROUP BY user_id, id)
-      WHERE k <= 24 GROUP BY user_id""",
+      SELECT user_id, {text(f"list(i + 2 ORDER BY {H('=perm', '=0', 'user_id', 'i')})")} AS recs FROM (
+        SELECT user_id, unnest(s) AS i FROM floyd CROSS JOIN widths WHERE j = n_items - 2) GROUP BY user_id""",
     "sample_items_labelled": f"""
       SELECT 'item' AS kind, draw, CAST(i.item_id AS BIGINT) AS id, i.category_name AS label,
         {r6('coalesce(list_sum(v.vec), 0::DOUBLE)')} AS vec_sum
@@ -662,6 +659,11 @@ BODIES = {
       FROM grustate g JOIN state s ON s.row_idx = g.row_idx AND s.t = g.t""",
     # top-k
     "topk_items": f"SELECT user_id, item_id, rank, {r6('s')} AS score FROM top20",
+    "topk_targets": f"""
+      SELECT user_id, item_id, rank, {r6('s')} AS score FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS INT) AS rank FROM score
+        WHERE item_id IN (SELECT item_id FROM views WHERE item_id >= 3 ORDER BY views DESC, item_id LIMIT 500))
+      WHERE rank <= 20""",
     "topk_at_step": f"""
       SELECT user_id, item_id, rank, {r6('s')} AS score FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS INT) AS rank FROM (
@@ -676,12 +678,9 @@ BODIES = {
     "topk_inslate_thompson": f"""
       SELECT user_id, item_id, CAST(rank AS INT) AS rank FROM (
         SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY min(r * 5 + draw)) AS rank
-        FROM (SELECT u.id AS user_id, v.id AS item_id, v.draw, row_number() OVER (PARTITION BY u.id, v.draw
+        FROM (SELECT u.user_id, v.id AS item_id, v.draw, row_number() OVER (PARTITION BY u.user_id, v.draw
                 ORDER BY list_dot_product(u.vec, v.vec) DESC, v.id) AS r
-              FROM uservec u CROSS JOIN (
-                SELECT v.id, g.draw, list(v.x + s.scale * {N('=post', '=0', '=item', 'g.draw', 'v.id', 'v.d')}
-                  ORDER BY v.d) AS vec
-                FROM itemdim v JOIN itemscale s ON s.id = v.id CROSS JOIN range(5) g(draw) GROUP BY 1, 2) v
+              FROM drawnstate u JOIN drawnvec v ON v.draw = u.draw
               QUALIFY r <= 5) GROUP BY 1, 2) WHERE rank <= 5""",
     "rank_from_order": """
       SELECT item_id, CASE WHEN item_id < 3 THEN 0 ELSE row_number() OVER (
@@ -745,6 +744,28 @@ BODIES["mf_fit"] = " UNION ALL ".join(
 
 # definitions only some queries need
 EXTRA = {
+    "random_recommender": f"""
+floyd AS (
+  SELECT user_id, n_items - 2 - 24 AS j, CAST([] AS BIGINT[]) AS s FROM users CROSS JOIN widths
+  UNION ALL
+  SELECT user_id, j + 1, list_append(s, CASE WHEN list_contains(s, d) THEN j ELSE d END) FROM (
+    SELECT user_id, j, s, {H('=rand', '=0', 'user_id', 'j')} % (j + 1) AS d FROM floyd CROSS JOIN widths
+    WHERE j < n_items - 2))
+""",
+    "topk_inslate_thompson": f"""
+drawn AS (
+  SELECT v.id, g.draw, v.d, v.x + s.scale * {N('=post', '=0', '=item', 'g.draw', 'v.id', 'v.d')} AS x
+  FROM itemdim v JOIN itemscale s ON s.id = v.id CROSS JOIN range(5) g(draw)),
+drawnvec AS (SELECT id, draw, list(x ORDER BY d) AS vec FROM drawn GROUP BY 1, 2),
+lastlevel AS (SELECT row_idx, max(n) AS n FROM levels GROUP BY 1),
+drawnstate AS (
+  SELECT u.row_idx, u.id AS user_id, g.draw,
+    list(pow(0.8::DOUBLE, l.n) * u.x + coalesce(p.x, 0) ORDER BY u.d) AS vec
+  FROM userdim u JOIN lastlevel l ON l.row_idx = u.row_idx CROSS JOIN range(5) g(draw) LEFT JOIN (
+    SELECT rc.row_idx, v.draw, v.d, sum(0.2::DOUBLE * pow(0.8::DOUBLE, l.n - rc.k) * v.x) AS x
+    FROM rc JOIN lastlevel l ON l.row_idx = rc.row_idx JOIN drawn v ON v.id = rc.click GROUP BY ALL) p
+  ON p.row_idx = u.row_idx AND p.draw = g.draw AND p.d = u.d GROUP BY 1, 2, 3)
+""",
     "profile_gru": _gru(gru_weights()),
     "profile_linear_gru": _gru(gru_weights()),
     "mf_fit": _fit(MF_EPOCHS, MF_RATE),

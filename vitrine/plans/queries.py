@@ -16,7 +16,7 @@ from vitrine.operators import (
 from vitrine.schema import FIRST_REAL, MAX_SLATE, MASK_CODE, PHASES, T_SPLIT
 from vitrine.sources import log as logs
 from vitrine.sources.orders import slate_tables, write_tables
-from vitrine.sources.shared import new_path
+from vitrine.sources.shared import cut_lineage, new_path
 
 DIM = 64
 MF_DIM = 9
@@ -103,14 +103,14 @@ def groups(t):
     return means.select(F.col("category_id").cast("bigint").alias("id"), "vec", scale.alias("scale"))
 
 
-def itemvec_hat(t):
-    """Estimated vectors: the mean of each item's and the next item's, cyclic."""
+def itemvec_hat(t, both=False):
+    """Estimated vectors: the mean of each item's and the next item's, cyclic; with ``both``, behind the true one."""
     m = t.itemvec.agg(F.count("*")).scalar()
     nxt = t.itemvec.select(
         (FIRST_REAL + (F.col("id") - FIRST_REAL + m - 1) % m).alias("id"),
         F.col("vec").alias("nxt"))
-    return t.itemvec.join(nxt, "id").select(
-        "id", F.zip_with("vec", "nxt", lambda a, b: (a + b) * 0.5).alias("vec"))
+    mean = F.zip_with("vec", "nxt", lambda a, b: (a + b) * 0.5)
+    return t.itemvec.join(nxt, "id").select("id", (F.concat("vec", mean) if both else mean).alias("vec"))
 
 
 def started(t, itemvec=None, log=None, keep=()):
@@ -127,20 +127,23 @@ def linear(t, itemvec=None, log=None, keep=()):
 def shown_scores(t, observed=False, compare=False):
     """Slate scores of all steps, or of the observed ones with their phase.
 
-    With ``compare`` the estimated vectors are scored in the same pass.
+    With ``compare`` the estimated vectors are scored in the same pass: both vectors of an
+    item are folded as one.
     """
     cols = ("click", "click_idx", "slate")
     log = split_log(t, *cols) if observed else t.log
-    folded = linear(t, None, log, (*cols, *(["split"] if observed else [])))
-    vecs, models = t.itemvec, scoring.ONE_MODEL
+    vecs, models, users = t.itemvec, scoring.ONE_MODEL, t.uservec
     if compare:
-        hat = itemvec_hat(t)
-        other = linear(t, hat).select("row_idx", F.col("states").alias("states_hat"))
-        folded = folded.join(other, "row_idx")
-        vecs = vecs.join(hat.withColumnRenamed("vec", "vec_hat"), "id")
+        vecs = cut_lineage(itemvec_hat(t, both=True))
         models = {**models, "score_hat": ("z_hat", "vec_hat")}
-    steps = profile.steps_with_state(
-        folded, cols, {"z": "states", **({"z_hat": "states_hat"} if compare else {})})
+        users = users.withColumn("vec", F.concat("vec", "vec"))
+    clicked = profile.click_vectors(log, vecs, (*cols, *(["split"] if observed else [])))
+    folded = profile.fold_linear(profile.profile_start(clicked, "normal", DIM, users), GAMMA)
+    steps = profile.steps_with_state(folded, cols)
+    if compare:
+        halves = lambda c: (F.slice(c, 1, DIM), F.slice(c, DIM + 1, DIM))
+        steps = steps.withColumns(dict(zip(("z", "z_hat"), halves("z"))))
+        vecs = vecs.select("id", *[h.alias(n) for n, h in zip(("vec", "vec_hat"), halves("vec"))])
     if observed:
         steps = reshape.observed_step_filter(steps).withColumn("phase", split.phase_of_step())
     return scoring.slate_scores(
@@ -521,7 +524,8 @@ def posterior_draw(t):
 def sample_click(t):
     """At every user's last observed step."""
     cols = ("click", "slate")
-    folded = linear(t, keep=cols).withColumn("last", F.size(F.array_remove("click", 0)) - 1)
+    log = t.log.withColumn("last", F.size(F.array_remove("click", 0)) - 1)
+    folded = linear(t, log=log, keep=(*cols, "last"))
     steps = profile.steps_with_state(folded, cols).where(F.col("t") == F.col("last"))
     scores = scoring.slate_scores(
         steps.drop("click", "last"), t.itemvec, BIAS, SOFTMAX_MULT)
@@ -798,24 +802,37 @@ def topk_items(t):
         "user_id", "item_id", "rank", r6("score").alias("score"))
 
 
+@query
+def topk_targets(t):
+    """The best of a list of targets, which may have any length."""
+    targets = most_viewed(t, 500).join(t.itemvec.select(F.col("id").cast("int").alias("item_id"), "vec"), "item_id")
+    return with_user(recommend.topk_targets(t.uservec, targets, TOP_K), t).select(
+        "user_id", "item_id", "rank", r6("score").alias("score"))
+
+
 @query
 def topk_at_step(t):
     states = profile.state_at(linear(t), T_SPLIT)
-    ranked = recommend.topk_states(states, t.itemvec, TOP_K, sized_like=t.users)
+    ranked = recommend.topk_states(states, t.itemvec, TOP_K)
     return with_user(ranked, t).select("user_id", "item_id", "rank", r6("score").alias("score"))
 
 
 @query
 def topk_over_time(t):
-    states = profile.step_states(linear(t))
-    steps = t.log.select(F.explode(F.sequence(F.lit(0), F.size("click"))).alias("t"))
-    ranked = recommend.topk_states(states, t.itemvec, 5, "l2", sized_like=steps)
+    ranked = recommend.topk_states(profile.distinct_states(linear(t)), t.itemvec, 5, "l2")
     return with_user(ranked, t).select("user_id", "t", "item_id", "rank", r6("score").alias("score"))
 
 
 @query
 def topk_inslate_thompson(t):
-    ranked = recommend.topk_inslate_thompson(t.uservec.select("row_idx", "vec"), posterior(t), 5)
+    k = 5
+
+    def follow(drawn):
+        starts = t.uservec.withColumn("vec", F.flatten(F.array_repeat("vec", k)))
+        clicked = profile.click_vectors(t.log, drawn)
+        return profile.state_at(profile.fold_linear(profile.profile_start(clicked, "normal", DIM, starts), GAMMA))
+
+    ranked = recommend.topk_inslate_thompson(follow, posterior(t), k)
     return with_user(ranked, t).select("user_id", "item_id", "rank")
 
 
@@ -831,10 +848,8 @@ def rank_from_order(t):
 def category_report(t):
     reserved = t.items.where(F.col("item_id") < FIRST_REAL).select(
         F.col("item_id").cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), DIM).alias("vec"))
-    states = profile.step_states(linear(t), upto=9)
-    steps = t.users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    ranked = recommend.topk_states(
-        states, t.itemvec.unionByName(reserved), 2, reserved=True, sized_like=steps)
+    states = profile.distinct_states(linear(t), upto=9)
+    ranked = recommend.topk_states(states, t.itemvec.unionByName(reserved), 2, reserved=True)
     return recommend.category_report(t.log, ranked, t.items, t.vocab)
 
 
@@ -857,8 +872,7 @@ def hitrate(t):
 @query
 def hitrate_by_phase(t):
     states = profile.state_at(linear(t), T_SPLIT)
-    recs = recommend.rec_lists(recommend.topk_states(
-        states, t.itemvec, TOP_K, sized_like=t.users))
+    recs = recommend.rec_lists(recommend.topk_states(states, t.itemvec, TOP_K))
     return metrics.hitrate_by_phase(mask_types(t), recs).withColumn("hitrate", r6("hitrate"))
 
 
@@ -881,7 +895,7 @@ def reward_by_step(t):
 def footrule(t):
     """Top-k lists of the true and the estimated model on each user's last state, per phase."""
     def ranks(vecs):
-        return recommend.topk_states(profile.state_at(linear(t, vecs)), vecs, TOP_K, sized_like=t.users)
+        return recommend.topk_states(profile.state_at(linear(t, vecs)), vecs, TOP_K)
 
     users = split.split_users_pct(t.users, t.users)
     distance = metrics.topk_footrule(ranks(t.itemvec), ranks(itemvec_hat(t)), users, TOP_K)

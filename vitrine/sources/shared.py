@@ -32,4 +32,16 @@ def cut_lineage(df):
     """
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete the files of a frame that ``cut_lineage`` returned and nothing reads any more."""
+    path = getattr(df, "_cut_path", None)
+    if path is None:
+        raise ValueError("only frames written by cut_lineage can be discarded")
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -55,6 +55,7 @@ def test_nothing_is_cut(spark, folder):
 @pytest.mark.parametrize("name", [
     "explode_interactions", "explode_exposures", "validate_log", "dataset_dims", "mask_type",
     "phase_mask", "scan_item_attr", "item_view_counts", "item_click_counts", "reward_by_step",
+    "profile_linear", "profile_markov", "amortized_start", "slate_scores", "slate_loglik",
 ])
 def test_matches_sql(spark, folder, name):
     con = duckdb.connect()

@@ -8,10 +8,14 @@ again.  Independent trees are repeated until a pair at the threshold is met with
 target recall.  Compared pairs that their sketches don't rule out are confirmed on the
 full sets.
 
-Comparing is sparse where groups are large.  The first round confirms a class's best
-partner only, in large nodes the best of sampled leaders.  The second round confirms the
-other partners met in small nodes, and compares on full sets the classes of large nodes,
-as far as they are not yet connected.  It has no cap, and emits links from large nodes,
+Comparing is sparse where groups are large.  The trees come in two batches.  Of each
+batch a class's best partners are confirmed, in large nodes the best of sampled leaders,
+and the links found are contracted: later nodes whose classes are one component already
+are dropped before anything is attached to them, and in large ones only classes outside
+the node's main component look for a leader.  After the trees the other partners met in
+small nodes are confirmed, and the classes of large nodes that are still not connected
+are compared on full sets.  Large nodes of different trees that hold the same component
+are pooled where that makes fewer pairs.  There is no cap, and large nodes emit links,
 never all pairs of a group.
 """
 
@@ -26,7 +30,7 @@ from vitrine.llm.common import (
     WordHashes, gather, id_and_text, mix, shingle_hashes, small_batches, small_or_shuffled,
 )
 from vitrine.llm.components import components
-from vitrine.sources.shared import cut_lineage
+from vitrine.sources.shared import cut_lineage, discard
 
 WORDS, PERCENT = 5, 80
 TARGET_RECALL = 0.999999
@@ -34,6 +38,7 @@ POSITIONS = 64   # minhash positions of a signature
 SMALL_NODE = 32  # classes compared exhaustively at once
 MIN_DEPTH = 2    # branchings before nodes are looked at
 MAX_DEPTH = 3    # branchings before a still large node is compared in blocks
+FIRST_TREES = 2  # trees whose links are contracted before the others are built
 LEADERS, BLOCK = 64, 512  # leaders of a large node; rows on a side of a unit
 CELLS = 1 << 22  # counters held at once when full sets are compared
 
@@ -138,37 +143,42 @@ def _matrix(column, dtype, width):
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
-def _rows(node, cid):
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid)], names=["node", "cid"])
+NODE_ROWS = "node bigint, cid bigint, comp bigint"
+
+
+def _rows(node, cid, comp):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node.view(np.int64)), pa.array(cid), pa.array(comp)], names=["node", "cid", "comp"])
 
 
 def _roots(trees, similarity):
-    """The nodes at MIN_DEPTH of every tree."""
+    """The nodes at MIN_DEPTH of ``trees``."""
     def run(batches):
         for b in batches:
             cid, sig = b["cid"].to_numpy(zero_copy_only=False), _matrix(b["sig"], "<u4", POSITIONS)
-            for tree in range(1, trees + 1):
+            comp = b["comp"].to_numpy(zero_copy_only=False)
+            for tree in trees:
                 rows, node = np.arange(len(cid)), np.full(len(cid), tree, np.uint64)
                 for _ in range(MIN_DEPTH):
                     some, node = _children(node, sig[rows], similarity)
                     rows = rows[some]
-                yield _rows(node, cid[rows])
+                yield _rows(node, cid[rows], comp[rows])
     return run
 
 
 def _branch(similarity):
     def run(batches):
         for b in batches:
-            cid, sig = b["cid"].to_numpy(zero_copy_only=False), _matrix(b["sig"], "<u4", POSITIONS)
-            rows, child = _children(b["node"].to_numpy(zero_copy_only=False).view(np.uint64), sig, similarity)
-            yield _rows(child, cid[rows])
+            node, cid, comp = (b[c].to_numpy(zero_copy_only=False) for c in ("node", "cid", "comp"))
+            rows, child = _children(node.view(np.uint64), _matrix(b["sig"], "<u4", POSITIONS), similarity)
+            yield _rows(child, cid[rows], comp[rows])
     return run
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two classes or more, with the size n."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return cut_lineage(rows.join(sizes, "node"))
+    """Rows of nodes with two components or more, with the number n of their classes."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return cut_lineage(rows.join(sizes.where("lo < hi").select("node", "n"), "node"))
 
 
 def _one_of_equal(rows: DataFrame) -> DataFrame:
@@ -180,36 +190,54 @@ def _one_of_equal(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(nodes, "node", "left_semi"))
 
 
-def tree_nodes(classes: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(node, cid, n): the nodes in which classes are compared, of all trees."""
-    trees = trees_for(recall, similarity, MAX_DEPTH)
-    rows = classes.select("cid", "sig").mapInArrow(_roots(trees, similarity), "node bigint, cid bigint")
-    done = None
+def tree_nodes(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
+    """(node, cid, comp, n): the nodes of ``trees`` in which classes (cid, sig, comp) are
+    compared: those with several components."""
+    rows = classes.select("cid", "sig", "comp").mapInArrow(_roots(trees, similarity), NODE_ROWS)
+    done = sized = None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
-        sized = _sized(cut_lineage(rows))
+        rows, above = cut_lineage(rows), sized
+        sized = _sized(rows)
+        for passed in (rows, above):
+            if passed is not None:
+                discard(passed)
         ends = _one_of_equal(sized if depth == MAX_DEPTH else sized.where(F.col("n") <= SMALL_NODE))
         done = ends if done is None else done.unionByName(ends)
         large = sized.where(F.col("n") > SMALL_NODE)
-        rows = large.select("node", "cid").join(classes.select("cid", "sig"), "cid").mapInArrow(
-            _branch(similarity), "node bigint, cid bigint")
+        rows = large.select("node", "cid", "comp").join(classes.select("cid", "sig"), "cid").mapInArrow(
+            _branch(similarity), NODE_ROWS)
+    discard(sized)
     return done
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """Deal each node's rows to units (node, unit): every row meets every ``right`` row
-    of its node in exactly one unit.  Rows stand on the left (1), right (2) or both (3)."""
-    small = members.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).cast("bigint").alias("unit"), "cid", "comp", "n", F.lit(3).alias("side"))
-    large = members.where(F.col("n") > SMALL_NODE)
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rights = F.ceil(F.greatest("m", F.lit(1)) / BLOCK)
-    block, group = F.pmod(F.xxhash64("cid"), blocks), F.pmod(F.xxhash64("cid", F.lit(1)), rights)
-    left = large.select("node", "cid", "comp", "n", blocks.alias("blocks"), block.alias("block"),
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), rights - 1)).alias("group"))
-    right = large.where("right").select("node", "cid", "comp", "n", blocks.alias("blocks"), group.alias("group"),
+def _with_main(large: DataFrame) -> DataFrame:
+    """Rows of large nodes with the node's most frequent component (main) and the number
+    (m) of classes outside of it; nodes of one component are left out."""
+    parts = large.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("node").agg(
+        F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("node", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("m"))
+    return large.select("node", "cid", "comp").join(main, "node")
+
+
+def _units(large: DataFrame, small: DataFrame | None = None) -> DataFrame:
+    """Deal each node's rows to units (node, unit): every ``left`` row meets every
+    ``right`` row of its node in exactly one unit.  Rows stand on the left (1), right (2)
+    or both (3).  ``lefts`` and ``rights`` are about the numbers of such rows; units of
+    pooled nodes are negative."""
+    blocks, groups = (F.ceil(F.greatest(c, F.lit(1)) / BLOCK) for c in ("lefts", "rights"))
+    block, group = F.pmod(F.xxhash64("cid"), blocks), F.pmod(F.xxhash64("cid", F.lit(1)), groups)
+    own = ("node", "cid", "comp", "n", "pooled")
+    left = large.where("left").select(*own, blocks.alias("blocks"), block.alias("block"),
+                                      F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)).alias("group"))
+    right = large.where("right").select(*own, blocks.alias("blocks"), group.alias("group"),
                                         F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
-    unit = (F.col("group") * F.col("blocks") + F.col("block")).alias("unit")
-    return small.unionByName(left.select("node", unit, "cid", "comp", "n", F.lit(1).alias("side"))).unionByName(
+    at = F.col("group") * F.col("blocks") + F.col("block")
+    unit = F.when(F.col("pooled"), -1 - at).otherwise(at).alias("unit")
+    dealt = left.select("node", unit, "cid", "comp", "n", F.lit(1).alias("side")).unionByName(
         right.select("node", unit, "cid", "comp", "n", F.lit(2).alias("side")))
+    return dealt if small is None else dealt.unionByName(
+        small.select("node", F.lit(0).cast("bigint").alias("unit"), "cid", "comp", "n", F.lit(3).alias("side")))
 
 
 def _by_unit(names, own, work, out):
@@ -244,7 +272,7 @@ def _by_unit(names, own, work, out):
 
 
 def _best(least):
-    """Partners (a, b) by sketch, ``least`` positions or more agreeing: all pairs of a small
+    """Partners (a, b) of different components by sketch, ``least`` positions or more agreeing: all pairs of a small
     node, ``best`` where b is the best of a or the other way round; of a large node each
     left row and its best partner on the right."""
     def work(node, unit, cid, comp, side, n, sketch):
@@ -252,7 +280,7 @@ def _best(least):
         for i in range(0, len(left) if len(right) else 0, 256):
             own = left[i:i + 256]
             same = (sketch[own][:, None, :] == sketch[right][None]).sum(2, dtype=np.int16)
-            same[cid[own][:, None] == cid[right][None]] = -1
+            same[comp[own][:, None] == comp[right][None]] = -1
             best = np.zeros(same.shape, bool)
             best[np.arange(len(own)), same.argmax(1)] = True
             x, y = np.nonzero((same >= least) & (best | (n[0] <= SMALL_NODE)))
@@ -261,21 +289,24 @@ def _best(least):
     return work
 
 
-def _units_of(members, attached, column):
-    rows = gather(_units(members), attached, "cid", spread=("node", "unit"))
+def _units_of(units, attached, column):
+    rows = gather(units, attached, "cid", spread=("node", "unit"))
     rows = rows.repartition("node", "unit").sortWithinPartitions("node", "unit", "cid")
     return rows.select("node", "unit", "cid", "comp", "side", "n", column)
 
 
 def _first_partners(nodes, classes, least):
-    """Distinct (a, b, best): see ``_best``.  Large nodes have sampled leaders on the right."""
+    """Distinct (a, b, best): see ``_best``.  In large nodes the classes outside the main
+    component stand on the left and sampled leaders on the right."""
     share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
-    members = nodes.select("node", "cid", "n", F.col("cid").alias("comp"), F.lit(LEADERS).cast("bigint").alias("m"),
-                           (share < LEADERS / F.col("n")).alias("right"))
+    large = _with_main(nodes.where(F.col("n") > SMALL_NODE)).select(
+        "node", "cid", "comp", "n", F.col("m").alias("lefts"), F.lit(LEADERS).cast("bigint").alias("rights"),
+        (F.col("comp") != F.col("main")).alias("left"), (share < LEADERS / F.col("n")).alias("right"), F.lit(False).alias("pooled"))
     sketches = classes.select("cid", "sig").mapInArrow(_sketches, "cid bigint, sketch binary")
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), lambda c: _matrix(c, np.uint8, POSITIONS),
                     _best(least), ["a", "b", "best"])
-    pairs = _units_of(members, sketches, "sketch").mapInArrow(work, "a bigint, b bigint, best boolean")
+    units = _units(large, nodes.where(F.col("n") <= SMALL_NODE))
+    pairs = _units_of(units, sketches, "sketch").mapInArrow(work, "a bigint, b bigint, best boolean")
     return pairs.groupBy("a", "b").agg(F.max("best").alias("best"))
 
 
@@ -317,21 +348,34 @@ def _labelled(rows, labels, key, name, spread):
     return got.withColumn(name, F.coalesce("_label", F.col(key))).drop("_label")
 
 
-def _open_members(members, labels):
+def _open_members(large, labels):
     """Members of the large nodes that hold several components; all but those of the main
-    one stand on the right."""
-    members = cut_lineage(_labelled(members.select("node", "cid"), labels, "cid", "comp", ("node",)))
-    parts = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").select("node", "n", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("m"))
-    return members.join(main, "node").withColumn("right", F.col("comp") != F.col("main"))
+    one stand on the right.
+
+    A group lies in large nodes of every tree, and what is near it, but not linked, keeps
+    them open.  The nodes of one main component are pooled to one node, if its pairs are
+    fewer than those of the nodes: each pair of theirs is a pair of the pool.
+    """
+    rows = cut_lineage(_labelled(large.select("node", "cid"), labels, "cid", "comp", ("node",)))
+    rows = cut_lineage(_with_main(rows))
+    pairs = lambda n, m: n.cast("double") * m
+    apart = rows.select("node", "main", "n", "m").distinct().groupBy("main").agg(F.sum(pairs(F.col("n"), F.col("m"))).alias("apart"))
+    pool = rows.select("main", "cid", "comp").distinct()
+    sizes = pool.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("m"))
+    sizes = cut_lineage(sizes.join(apart, "main").withColumn("pooled", pairs(F.col("n"), F.col("m")) <= F.col("apart")))
+    pooled = pool.join(sizes.where("pooled").select("main", "n", "m"), "main").withColumn("node", F.col("main"))
+    alone = rows.join(sizes.where("not pooled").select("main"), "main")
+    columns = lambda df, flag: df.select(
+        "node", "cid", "comp", "n", F.col("n").alias("lefts"), F.col("m").alias("rights"), F.lit(True).alias("left"),
+        (F.col("comp") != F.col("main")).alias("right"), F.lit(flag).alias("pooled"))
+    return columns(pooled, True).unionByName(columns(alone, False))
 
 
 def _in_large_nodes(members, sets, percent):
     """Links between the components of large nodes."""
     own = lambda c: _object_array([np.asarray(x.values) for x in c])
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), own, _exact(percent), ["a", "b"])
-    return _units_of(members, sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct()
+    return _units_of(_units(members), sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def _object_array(items):
@@ -371,26 +415,52 @@ def _confirmed(pairs, sets, percent):
     return two.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
+def _with_sets_of(wanted, sets, classes, docs, words):
+    """``sets`` (None: none so far) and those of the classes ``wanted`` (cid) that it lacks."""
+    missing = wanted.distinct()
+    if sets is not None:
+        missing = missing.join(sets.select("cid"), "cid", "left_anti")
+    missing = cut_lineage(classes.select("cid", "set_key", "rep").join(missing, "cid", "left_semi"))
+    if sets is None:
+        return _sets_of(missing, docs, words)
+    return sets if missing.isEmpty() else sets.unionByName(_sets_of(missing, docs, words))
+
+
+def _ends(pairs):
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+
+
+def _contracted(labels, pairs):
+    """Components of the links so far, each a star around its label, and of new ``pairs``."""
+    return components(pairs if labels is None else labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(pairs))
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
     """(v, label): components of the classes that have links."""
     similarity = percent / 100
-    nodes = tree_nodes(classes, similarity, recall)
-    partners = cut_lineage(_first_partners(nodes, classes, least_for(recall, similarity)))
-    large = nodes.where(F.col("n") > SMALL_NODE)
-    wanted = partners.select(F.explode(F.array("a", "b")).alias("cid")).union(large.select("cid")).distinct()
-    wanted = cut_lineage(classes.select("cid", "set_key", "rep").join(wanted, "cid", "left_semi"))
-    sets = _sets_of(wanted, docs, words)
-    first = cut_lineage(_confirmed(partners.where("best").select("a", "b"), sets, percent))
-    labels = components(first)
-    others = partners.where("not best").select("a", "b")
+    least, trees = least_for(recall, similarity), trees_for(recall, similarity, MAX_DEPTH)
+    labels = sets = tried = others = large = None
+    for some in (range(1, min(FIRST_TREES, trees) + 1), range(FIRST_TREES + 1, trees + 1)):
+        own = classes.withColumn("comp", F.col("cid")) if labels is None else _labelled(classes, labels, "cid", "comp", ("cid",))
+        nodes = tree_nodes(own, similarity, some)
+        partners = _first_partners(nodes, classes, least)
+        partners = cut_lineage(partners if tried is None else partners.join(tried, ["a", "b"], "left_anti"))
+        best = partners.where("best").select("a", "b")
+        sets = _with_sets_of(_ends(partners if sets is None else best), sets, classes, docs, words)
+        labels = _contracted(labels, cut_lineage(_confirmed(best, sets, percent)))
+        more = partners.where("not best").select("a", "b"), nodes.where(F.col("n") > SMALL_NODE)
+        tried, others, large = (best, *more) if tried is None else (
+            tried.unionByName(best), others.unionByName(more[0]), large.unionByName(more[1]))
+    others = others.distinct().join(tried, ["a", "b"], "left_anti")
     others = _labelled(_labelled(others, labels, "a", "x", ("b",)), labels, "b", "y", ("a",))
     others = cut_lineage(others.where("x <> y").select("a", "b"))
     members = cut_lineage(_open_members(large, labels))
+    again = cut_lineage(_ends(others).union(members.select("cid")).distinct())
+    sets = _with_sets_of(again, sets, classes, docs, words)
     # few sets are asked for again: the others stay where they are
-    again = others.select(F.explode(F.array("a", "b")).alias("cid")).union(members.select("cid")).distinct()
-    sets = cut_lineage(sets.join(small_or_shuffled(cut_lineage(again)), "cid", "left_semi"))
+    sets = cut_lineage(sets.join(small_or_shuffled(again), "cid", "left_semi"))
     second = cut_lineage(_confirmed(others, sets, percent).unionByName(_in_large_nodes(members, sets, percent)))
-    return labels if second.isEmpty() else components(first.unionByName(second))
+    return labels if second.isEmpty() else _contracted(labels, second)
 
 
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT,

@@ -12,10 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.llm.common import id_and_text
-from vitrine.llm.spans import NO_SPANS, count_of, find, matches, overlaps, written
+from vitrine.llm.spans import NO_SPANS, count_of, find, gathered, matches, overlaps, written
 
 WINDOW = 16
-MIN_LENGTH = 20
+MIN_LENGTH = WINDOW
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
 PART = rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{MIN_LENGTH},}}+"
 HEX = "0123456789abcdef"
@@ -30,12 +30,13 @@ CLASSES = (
     ("entropy_upper", True, r"^(?=.*[0-9])(?=.*[G-Z])[0-9A-Z]+$", MIXED[:26] + MIXED[52:62], 3.1),
     ("entropy_letters", False, r"^(?=.*[a-z])(?=.*[A-Z])[^0-9]+$", MIXED, 3.4),
 )
-_WORD = "(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]{1,5}+)"
+_INNER = "(?:[A-Z][a-z]{2,}+|To|Of|In|By|Is|On|At|As|Or|If|No|Up|Id)[0-9]{0,4}+"  # a word of camel case
+_WORD = f"(?:[A-Z]?[a-z]++[0-9]{{0,4}}+(?:{_INNER})*+|[A-Z]{{1,5}}+[0-9]{{0,4}}+|[0-9]{{1,4}}+)"
 #: Strings that match one of these are no secrets.
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
-    rf"^[-_/=]*{_WORD}(?:[-_/]+{_WORD})*+[-_/=]*[0-9]{{0,4}}$",  # words, with a number at the end
+    rf"^[-_/=]*{_WORD}(?:[-_/]+{_WORD})*+[-_/=]*[0-9]{{0,4}}$",  # words and short numbers
     r"^[A-Z]+(?:[-_/][A-Z]+)*[-_/]?[0-9]{1,4}$",
 )
 
@@ -84,16 +85,16 @@ def hot_range(value: Column, alphabet: str, least: float, window=WINDOW) -> Colu
 
 def _blanked(text: Column, spans: Column) -> Column:
     """``text`` with spaces where ``spans`` (sorted by their start) stand."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    nothing = F.array().cast("array<string>")
 
-    def add(acc, s):
-        start = F.greatest(acc["at"], s["start"])
-        kept = F.substring(text, acc["at"] + 1, start - acc["at"])
-        step = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, F.repeat(F.lit(" "), s["end"] - start))).alias("out"))
-        return F.when(s["end"] > acc["at"], step).otherwise(acc)
+    def add(at, s):
+        start = F.greatest(at, s["start"])
+        kept = F.substring(text, at + 1, start - at)
+        more = F.array(kept, F.repeat(F.lit(" "), s["end"] - start))
+        return F.greatest(at, s["end"]), F.when(s["end"] > at, more).otherwise(nothing)
 
-    return F.aggregate(spans, begin, add, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return gathered(spans, add, "string", lambda at, out: F.concat(
+        F.array_join(out, ""), F.substring(text, at + 1, F.length(text))))
 
 
 def _parts_with(text: Column, pattern: str) -> Column:

@@ -5,6 +5,32 @@ from pyspark.sql import Column, functions as F
 NO_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
+def gathered(items: Column, add, kind: str, after) -> Column:
+    """Walk ``items`` with a position and append to an array<kind> on the way.
+
+    ``add(at, item)`` gives the next position and the array to append, ``after(at, all)``
+    the result.  An append copies the array, so blocks of about sqrt(n) items are
+    gathered on their own: n * sqrt(n) in all.
+    """
+    def one(acc, x):
+        at, more = add(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc, b):
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(b, begin, one, lambda r: F.struct(
+            r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def walk(held):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(held))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), size), lambda i: F.slice(held, i, size))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(blocks, begin, block, lambda r: after(r["at"], F.flatten(r["out"])))
+
+    # a lambda's argument is computed once
+    return F.get(F.transform(F.array(items), walk), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     """array<struct<start, end, value, part>>: leftmost non-overlapping matches.
 
@@ -18,16 +44,13 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     each = F.arrays_zip(
         F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found)).alias("gap"),
         found.alias("value"), part.alias("part"))
-    kind = "array<struct<start:int,end:int,value:string,part:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def add(acc, x):
-        start = (acc["at"] + x["gap"]).alias("start")
-        end = acc["at"] + x["gap"] + F.length(x["value"])
-        one = F.struct(start, end.alias("end"), x["value"].alias("value"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def add(at, x):
+        start = at + x["gap"]
+        end = start + F.length(x["value"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part")))
 
-    return F.aggregate(each, begin, add, lambda acc: acc["out"])
+    return gathered(each, add, "struct<start:int,end:int,value:string,part:string>", lambda at, out: out)
 
 
 def find(text: Column, kinds) -> Column:
@@ -61,12 +84,12 @@ def overlaps(span, others: Column) -> Column:
 
 def replaced(text: Column, spans: Column, by) -> Column:
     """``text`` with each span replaced by ``by(span)``; of overlapping spans the first wins."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    nothing = F.array().cast("array<string>")
 
-    def add(acc, s):
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        step = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, by(s))).alias("out"))
-        return F.when(s["start"] >= acc["at"], step).otherwise(acc)
+    def add(at, s):
+        kept = F.substring(text, at + 1, s["start"] - at)
+        apart = s["start"] >= at
+        return F.when(apart, s["end"]).otherwise(at), F.when(apart, F.array(kept, by(s))).otherwise(nothing)
 
-    return F.aggregate(spans, begin, add, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return gathered(spans, add, "string", lambda at, out: F.concat(
+        F.array_join(out, ""), F.substring(text, at + 1, F.length(text))))

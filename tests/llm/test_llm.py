@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import math
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -459,6 +462,88 @@ def test_what_stands_beside_a_key_does_not_hide_it(spark):
     assert not found[5]["spans"]
 
 
+def disclosed(texts):
+    """Brute force: per text its disclosing terms and whether they are removed."""
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    whole = collections.Counter(texts)
+    n, chars = len(whole), sum(map(len, whole))
+    n_term, names, inside = collections.Counter(), {}, {}
+    for t in whole:
+        n_term.update({w for w in word.findall(t.lower()) if regex.search(r"\p{L}", w)})
+        spans = sorted((m.start(), r, k, m.end()) for r, (k, p, ok) in enumerate(PII) for m in re.compile(p, re.A).finditer(t) if ok(m))
+        rest, at, names[t] = "", 0, set()
+        for start, _, kind, end in spans:
+            value, number = t[start:end].lower(), re.sub("[^0-9]", "", t[start:end])
+            group = {"email": value.rsplit("@", 1)[-1], "ip": ".".join(value.split(".")[:3]), "phone": number[:5], "card": number[:6]}[kind]
+            names[t] |= {f"{kind}:{value}", f"{kind}~{group}"}
+            if start >= at:
+                rest, at = rest + t[at:start] + " ", end
+        inside[t] = collections.Counter(w for w in word.findall((rest + t[at:]).lower()) if regex.search(r"\p{L}", w))
+    joint, n_pair, n_entity, of_chars = (collections.Counter() for _ in range(4))
+    for t in whole:
+        for e in names[t]:
+            n_entity[e] += 1
+            of_chars[e] += len(t)
+            for w, c in inside[t].items():
+                joint[e, w] += c
+                n_pair[e, w] += 1
+    share = {}
+    for (e, w), c in joint.items():
+        spread = max(n_term[w], n_pair[e, w])
+        base_rate, part, events = n_entity[e] / n, of_chars[e] / chars, c + spread - n_pair[e, w]
+        own = math.log2(n) if "~" in e[:6] else -math.log2(base_rate)
+        q = c / events
+        evidence = 0.0 if q <= part or part >= 1 else events * (
+            q * math.log(q / part) + ((1 - q) * math.log((1 - q) / (1 - part)) if q < 1 else 0))
+        told = math.log2((n_pair[e, w] + base_rate) / (spread + 1) / base_rate) / own if own > 0 else 0
+        if told >= pii.GENERALISE and evidence >= math.log(len(joint) / pii.CHANCE) and spread <= pii.LEFT_OPEN * n_pair[e, w]:
+            share[e, w] = told
+    return {t: {w: max(share[e, w] for e in names[t] if (e, w) in share) >= pii.REMOVE
+                for w in inside[t] if any((e, w) in share for e in names[t])} for t in whole}
+
+
+def test_disclosing_terms_by_brute_force(spark, real):
+    """On the real table and with planted persons; common words stay, whatever stands beside them once."""
+    texts = [r["text"] or "" for r in real["documents"].collect()]
+    texts += [f"Zorblatt of Quux wrote from zed@corp.example, {w}. Zorblatt signed." for w in WORDS[:5]]
+    texts += [f"Ploverton office: user{i}@plover.example, ask for {w}, Ploverton." for i, w in enumerate(WORDS[:4])] * 2
+    found = pii.find_personal_data(documents(spark, list(enumerate(texts)))).collect()
+    want = disclosed(texts)
+    words = marked = 0
+    for r in found:
+        t = texts[r["doc_id"]]
+        got = {t[s["start"]:s["end"]].lower(): s["kind"] == "term_removed" for s in r["spans"] if s["kind"].startswith("term")}
+        assert got == want[t]
+        if r["base"] and r["doc_id"] < len(texts) - 13:
+            words += len(regex.findall(r"[\p{L}\p{N}]+", t))
+            marked += len(r["spans"]) - len(r["base"])
+    assert {"zorblatt", "quux"} <= want[texts[-13]].keys() and "ploverton" in want[texts[-1]]
+    print("marked", marked, "of", words)
+    assert marked <= 0.05 * words
+
+
+def test_many_matches_in_one_text(spark):
+    n = 60_000
+    text = " ".join(f"u{i}@x.org" for i in range(n))
+    began = time.monotonic()
+    found = spark.createDataFrame([(text,)], "t string").select(pii.base_spans(F.col("t")).alias("s")).select(
+        F.size("s"), F.get("s", F.lit(n - 1))).first()
+    assert found[0] == n and (found[1]["start"], found[1]["end"]) == (len(text) - len(f"u{n - 1}@x.org"), len(text))
+    assert time.monotonic() - began < 60
+
+
+def test_paths_and_identifiers_are_no_secrets(spark):
+    plain = ["/Users/alice/project2/src/Main/java", "convertUtf8ToUtf16LittleEndian", "https://example.org/docs/2024/Release/notes/index",
+             "https://site.org/docs/v2/Release/notes/index/page", "src/Python3/lib/SitePackages/numpy",
+             "/Volumes/Data1/backup/photos/holiday", "Iso8601DateTimeFormatterBuilder", "en_US/LC2/Messages/gettext/catalog"]
+    found = secrets.find_secrets(documents(spark, [(i, f"see {t} here") for i, t in enumerate(plain)])).collect()
+    assert not [plain[r["doc_id"]] for r in found if r["spans"]]
+    rng = np.random.default_rng(6)
+    keys = ["".join(rng.choice(list(secrets.MIXED[:62]), n)) for n in (16, 17, 18, 19) for _ in range(100)]
+    got = secrets.find_secrets(documents(spark, list(enumerate(keys)))).where(F.size("spans") > 0).count()
+    assert got >= 0.95 * len(keys)
+
+
 def test_entropy_by_recount(spark):
     def entropy(w):
         return -sum(c / len(w) * np.log2(c / len(w)) for c in collections.Counter(w).values())

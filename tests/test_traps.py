@@ -266,6 +266,8 @@ def test_counts_include_reserved_ids_and_zeros(spark, log):
     ctr = {r.item_id: r.ctr for r in stats.item_ctr(
         stats.item_click_counts(log, F.lit(12)), stats.item_view_counts(log, F.lit(12)), 5).collect()}
     assert ctr[3] == pytest.approx(5 / 5) and ctr[8] == 0.0 and ctr[11] == 0.0
+    both = {r.item_id: (r.clicks, r.views) for r in stats.item_counts(log, F.lit(12)).collect()}
+    assert both == {i: (clicks[i], views[i]) for i in range(12)}
 
 
 def test_id_range_spans_blocks(spark):

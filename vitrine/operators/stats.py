@@ -85,11 +85,28 @@ def item_view_counts(log, num_items: Column) -> DataFrame:
     return items_left_counts(_with_pad_row(counts, pad, "views"), num_items, "views")
 
 
-def item_ctr(clicks, views, min_views: int = 1000) -> DataFrame:
-    """Clicks per view; zero below ``min_views``."""
+def item_counts(log, num_items: Column) -> DataFrame:
+    """(item_id, clicks, views): ``item_click_counts`` and ``item_view_counts`` in one pass."""
+    entry = lambda item, clicks, views: F.struct(
+        item.cast("int").alias("item_id"), clicks.cast("bigint").alias("clicks"), views.cast("bigint").alias("views"))
+    steps = log.select(F.explode(F.arrays_zip("click", "slate")).alias("s")).select(
+        "s.click", F.coalesce("s.slate", F.array().cast("array<int>")).alias("slate"))
+    shown = F.array_remove("slate", PAD)
+    real = F.col("click") != PAD
+    pads = entry(F.lit(PAD), F.lit(0), F.size("slate") - F.size(shown))
+    seen = F.transform(F.when(real, shown).otherwise(F.array().cast("array<int>")), lambda x: entry(x, F.lit(0), F.lit(1)))
+    rows = steps.select(F.explode(F.concat(F.array(entry(F.col("click"), F.lit(1), F.lit(0)), pads), seen)).alias("e"))
+    counts = rows.groupBy("e.item_id").agg(F.sum("e.clicks").alias("clicks"), F.sum("e.views").alias("views"))
+    return id_range(log.sparkSession, num_items).join(counts, "item_id", "left").select(
+        "item_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("clicks", "views")])
+
+
+def item_ctr(clicks, views=None, min_views: int = 1000) -> DataFrame:
+    """Clicks per view; zero below ``min_views``.  ``clicks`` may hold the views too."""
+    both = clicks if views is None else clicks.join(views, "item_id")
     seen = F.when(F.col("views") == 0, F.lit(1e-6)).otherwise(F.col("views").cast("double"))
     ctr = F.when(seen < min_views, F.lit(0.0)).otherwise(F.col("clicks") / seen)
-    return clicks.join(views, "item_id").select("item_id", "clicks", "views", ctr.alias("ctr"))
+    return both.select("item_id", "clicks", "views", ctr.alias("ctr"))
 
 
 def top_ctr_items(ctr, k: int = 20) -> DataFrame:

@@ -569,7 +569,7 @@ def item_view_counts(t):
 
 
 def _ctr(t):
-    return stats.item_ctr(stats.item_click_counts(t.log, n_items(t)), views(t), MIN_VIEWS)
+    return stats.item_ctr(stats.item_counts(t.log, n_items(t)), min_views=MIN_VIEWS)
 
 
 @query
@@ -703,14 +703,13 @@ def slate_loglik(t):
                       r6(F.col("loglik") / TEMPERATURE).alias("tempered"))
 
 
-def _mf_logliks(t):
-    return scoring.mf_step_loglik(mf_steps(t), t.uservec, t.itemvec)
+def _mf_logliks(t, *extra):
+    return scoring.mf_step_loglik(mf_steps(t), t.uservec, t.itemvec, extra)
 
 
 @query
 def mf_sampled_loglik(t):
-    phases = phased(t).select("row_idx", "t", "phase")
-    return scoring.mf_sampled_loglik(_mf_logliks(t), phases).withColumn("loglik", r6("loglik"))
+    return scoring.mf_sampled_loglik(_mf_logliks(t, "phase")).withColumn("loglik", r6("loglik"))
 
 
 @query

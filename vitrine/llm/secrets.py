@@ -11,13 +11,17 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vitrine.functions.vectors import let
 from vitrine.llm.common import id_and_text
 from vitrine.llm.spans import NO_SPANS, count_of, find, gathered, matches, overlaps, written
 
 WINDOW = 16
 MIN_LENGTH = WINDOW
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
-PART = rf"(?<![A-Za-z0-9])[A-Za-z0-9]{{{MIN_LENGTH},}}+"
+_KEY, _SIGN = "[A-Za-z0-9+/_=-]", "+/_=-"
+# strings of one case or of digits only are of no class, parts are of none without a digit
+_PLAIN = "".join(f"(?![{c}{_SIGN}]++(?!{_KEY}))" for c in ("a-z", "A-Z", "0-9"))
+CANDIDATE = rf"(?<!{_KEY}){_PLAIN}{_KEY}{{{MIN_LENGTH},}}+"
+PART = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{MIN_LENGTH},}}+"
 HEX = "0123456789abcdef"
 MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, no string is of two: name, whether it is one of parts, test of the
@@ -110,8 +114,6 @@ def _candidate_spans(text: Column, base: Column, allowed) -> Column:
     whole = [p for p in allowed if p.startswith("^")]
     cut = [_parts_with(text, p) for p in allowed if not p.startswith("^")]
     ends = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    rest = _blanked(text, F.array_sort(F.concat(ends, *cut)))
-
     def fine(m):
         bad = F.lit(False)
         for pattern in whole:
@@ -125,14 +127,17 @@ def _candidate_spans(text: Column, base: Column, allowed) -> Column:
             (h["at"] + h["r"]["lo"]).alias("start"), F.lit(len(KINDS) + rank).alias("rank"), F.lit(name).alias("kind"),
             (h["at"] + h["r"]["hi"]).alias("end"), F.lit("").alias("value")))
 
-    def spans(pattern, of_parts):
-        found = F.filter(matches(rest, pattern), fine)
-        return F.concat(*[of_class(found, rank, name, *more) for rank, (name, part, *more) in enumerate(CLASSES) if part == of_parts])
+    def spans(rest, pattern, of_parts):
+        return let(F.filter(matches(rest, pattern), fine), lambda found: F.concat(*[
+            of_class(found, rank, name, *more) for rank, (name, part, *more) in enumerate(CLASSES) if part == of_parts]))
 
-    # a part that the span of its whole string touches is told already
-    both = F.transform(F.array(F.struct(spans(CANDIDATE, False).alias("a"), spans(PART, True).alias("b"))), lambda x: F.concat(
-        x["a"], F.filter(x["b"], lambda s: ~overlaps(s, x["a"]))))
-    return F.when(text.rlike(CANDIDATE), F.flatten(both)).otherwise(F.array().cast(NO_SPANS))
+    def both(rest):
+        of_whole = F.struct(spans(rest, CANDIDATE, False).alias("a"), spans(rest, PART, True).alias("b"))
+        # a part that the span of its whole string touches is told already
+        return let(of_whole, lambda x: F.concat(x["a"], F.filter(x["b"], lambda s: ~overlaps(s, x["a"]))))
+
+    rest = _blanked(text, F.array_sort(F.concat(ends, *cut)))
+    return F.when(text.rlike(CANDIDATE), let(rest, both)).otherwise(F.array().cast(NO_SPANS))
 
 
 def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", allowed=ALLOWED) -> DataFrame:

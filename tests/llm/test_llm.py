@@ -487,7 +487,7 @@ def disclosed(texts):
             for w, c in inside[t].items():
                 joint[e, w] += c
                 n_pair[e, w] += 1
-    share = {}
+    share, examined = {}, sum(len(names[t]) * len(inside[t]) for t in whole)
     for (e, w), c in joint.items():
         spread = max(n_term[w], n_pair[e, w])
         base_rate, part, events = n_entity[e] / n, of_chars[e] / chars, c + spread - n_pair[e, w]
@@ -496,7 +496,7 @@ def disclosed(texts):
         evidence = 0.0 if q <= part or part >= 1 else events * (
             q * math.log(q / part) + ((1 - q) * math.log((1 - q) / (1 - part)) if q < 1 else 0))
         told = math.log2((n_pair[e, w] + base_rate) / (spread + 1) / base_rate) / own if own > 0 else 0
-        if told >= pii.GENERALISE and evidence >= math.log(len(joint) / pii.CHANCE) and spread <= pii.LEFT_OPEN * n_pair[e, w]:
+        if told >= pii.GENERALISE and evidence >= math.log(examined / pii.CHANCE) and spread <= pii.LEFT_OPEN * n_pair[e, w]:
             share[e, w] = told
     return {t: {w: max(share[e, w] for e in names[t] if (e, w) in share) >= pii.REMOVE
                 for w in inside[t] if any((e, w) in share for e in names[t])} for t in whole}

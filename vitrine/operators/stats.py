@@ -1,5 +1,8 @@
 """Descriptive statistics, popularity and report aggregates."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions.joins import gather
@@ -240,10 +243,44 @@ def state_energy(states, dim: int) -> DataFrame:
     return per_t.select("t", F.posexplode("e").alias("dim", "energy"))
 
 
+def _moments(dim: int):
+    """Number, mean and sum of squared deviations per element of a task's vectors; nulls don't count."""
+    def run(batches):
+        n, mean, m2 = np.zeros(dim), np.zeros(dim), np.zeros(dim)
+        for b in batches:
+            vec = b.column("vec")
+            lengths = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False)
+            flat = vec.flatten()
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            some = ~flat.is_null().to_numpy(zero_copy_only=False) & (at < dim)
+            x, known = np.zeros((len(lengths), dim)), np.zeros((len(lengths), dim), bool)
+            x[rows[some], at[some]] = flat.to_numpy(zero_copy_only=False)[some]
+            known[rows[some], at[some]] = True
+            count = known.sum(0)
+            own = x.sum(0) / np.maximum(count, 1)
+            gap = own - mean
+            m2 += (np.where(known, x - own, 0.0) ** 2).sum(0) + gap**2 * n * count / np.maximum(n + count, 1)
+            n += count
+            mean += gap * count / np.maximum(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim), pa.int32()), *map(pa.array, (n, mean, m2))],
+                                         names=["dim", "n", "mean", "m2"])
+    return run
+
+
 def state_std(states, dim: int) -> DataFrame:
-    """Sample standard deviation per dimension over users and steps."""
-    stds = [F.stddev_samp(F.get("vec", F.lit(i))) for i in range(dim)]
-    return states.agg(F.array(*stds).alias("s")).select(F.posexplode("s").alias("dim", "std"))
+    """Sample standard deviation per dimension over users and steps.
+
+    Every task sends its moments; they are added up by their distances to the common mean.
+    """
+    parts = states.select("vec").mapInArrow(_moments(dim), "dim int, n double, mean double, m2 double").where("n > 0")
+    of = Window.partitionBy("dim")
+    gap = F.col("mean") - F.sum(F.col("n") * F.col("mean")).over(of) / F.sum("n").over(of)
+    sums = parts.select("dim", "n", (F.col("m2") + F.col("n") * gap * gap).alias("m2")).groupBy("dim").agg(
+        F.sum("n").alias("n"), F.sum("m2").alias("m2"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.greatest(F.col("n") - 1, F.lit(1.0))))
+    every = states.sparkSession.range(dim).select(F.col("id").cast("int").alias("dim"))
+    return every.join(sums, "dim", "left").select("dim", std.alias("std"))
 
 
 def user_hits(recs, clicks) -> DataFrame:

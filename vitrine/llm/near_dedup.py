@@ -290,14 +290,15 @@ def _best(least):
 
 
 def _units_of(units, attached, column):
+    """The rows of written ``units``, sorted unit by unit, with what is attached to their classes."""
     rows = gather(units, attached, "cid", spread=("node", "unit"))
     rows = rows.repartition("node", "unit").sortWithinPartitions("node", "unit", "cid")
     return rows.select("node", "unit", "cid", "comp", "side", "n", column)
 
 
 def _first_partners(nodes, classes, least):
-    """Distinct (a, b, best): see ``_best``.  In large nodes the classes outside the main
-    component stand on the left and sampled leaders on the right."""
+    """Distinct (a, b, best): see ``_best``, and the files it reads.  In large nodes the classes
+    outside the main component stand on the left and sampled leaders on the right."""
     share = F.pmod(F.xxhash64("cid", "node"), F.lit(1 << 30)) / float(1 << 30)
     large = _with_main(nodes.where(F.col("n") > SMALL_NODE)).select(
         "node", "cid", "comp", "n", F.col("m").alias("lefts"), F.lit(LEADERS).cast("bigint").alias("rights"),
@@ -305,9 +306,10 @@ def _first_partners(nodes, classes, least):
     sketches = classes.select("cid", "sig").mapInArrow(_sketches, "cid bigint, sketch binary")
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), lambda c: _matrix(c, np.uint8, POSITIONS),
                     _best(least), ["a", "b", "best"])
-    units = _units(large, nodes.where(F.col("n") <= SMALL_NODE))
+    # written: the look-up counts them too, and would plan and deal them again for every count
+    units = cut_lineage(_units(large, nodes.where(F.col("n") <= SMALL_NODE)))
     pairs = _units_of(units, sketches, "sketch").mapInArrow(work, "a bigint, b bigint, best boolean")
-    return pairs.groupBy("a", "b").agg(F.max("best").alias("best"))
+    return pairs.groupBy("a", "b").agg(F.max("best").alias("best")), units
 
 
 def _exact(percent):
@@ -342,9 +344,9 @@ def _exact(percent):
     return work
 
 
-def _labelled(rows, labels, key, name, spread):
+def _labelled(rows, labels, key, name, spread, census=None):
     """The component of ``key``, or itself, as ``name``."""
-    got = gather(rows, labels.select(F.col("v").alias(key), F.col("label").alias("_label")), key, spread=spread, how="left")
+    got = gather(rows, labels.select(F.col("v").alias(key), F.col("label").alias("_label")), key, spread=spread, census=census, how="left")
     return got.withColumn(name, F.coalesce("_label", F.col(key))).drop("_label")
 
 
@@ -372,10 +374,11 @@ def _open_members(large, labels):
 
 
 def _in_large_nodes(members, sets, percent):
-    """Links between the components of large nodes."""
+    """Links between the components of large nodes, and the files it reads."""
     own = lambda c: _object_array([np.asarray(x.values) for x in c])
     work = _by_unit(("node", "unit", "cid", "comp", "side", "n"), own, _exact(percent), ["a", "b"])
-    return _units_of(_units(members), sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct()
+    units = cut_lineage(_units(members))
+    return _units_of(units, sets, "shingles").mapInArrow(work, "a bigint, b bigint").distinct(), units
 
 
 def _object_array(items):
@@ -443,23 +446,28 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, recall:
     for some in (range(1, min(FIRST_TREES, trees) + 1), range(FIRST_TREES + 1, trees + 1)):
         own = classes.withColumn("comp", F.col("cid")) if labels is None else _labelled(classes, labels, "cid", "comp", ("cid",))
         nodes = tree_nodes(own, similarity, some)
-        partners = _first_partners(nodes, classes, least)
+        partners, units = _first_partners(nodes, classes, least)
         partners = cut_lineage(partners if tried is None else partners.join(tried, ["a", "b"], "left_anti"))
+        discard(units)
         best = partners.where("best").select("a", "b")
         sets = _with_sets_of(_ends(partners if sets is None else best), sets, classes, docs, words)
         labels = _contracted(labels, cut_lineage(_confirmed(best, sets, percent)))
         more = partners.where("not best").select("a", "b"), nodes.where(F.col("n") > SMALL_NODE)
         tried, others, large = (best, *more) if tried is None else (
             tried.unionByName(best), others.unionByName(more[0]), large.unionByName(more[1]))
-    others = others.distinct().join(tried, ["a", "b"], "left_anti")
-    others = _labelled(_labelled(others, labels, "a", "x", ("b",)), labels, "b", "y", ("a",))
+    met = cut_lineage(others.distinct().join(tried, ["a", "b"], "left_anti"))
+    others = _labelled(_labelled(met, labels, "a", "x", ("b",)), labels, "b", "y", ("a",), census=met)
     others = cut_lineage(others.where("x <> y").select("a", "b"))
+    discard(met)
     members = cut_lineage(_open_members(large, labels))
     again = cut_lineage(_ends(others).union(members.select("cid")).distinct())
     sets = _with_sets_of(again, sets, classes, docs, words)
     # few sets are asked for again: the others stay where they are
     sets = cut_lineage(sets.join(small_or_shuffled(again), "cid", "left_semi"))
-    second = cut_lineage(_confirmed(others, sets, percent).unionByName(_in_large_nodes(members, sets, percent)))
+    confirmed = cut_lineage(_confirmed(others, sets, percent))
+    inside, units = _in_large_nodes(members, sets, percent)
+    second = confirmed.unionByName(cut_lineage(inside))
+    discard(units)
     return labels if second.isEmpty() else _contracted(labels, second)
 
 
